@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import round_doubles
 from tallyframe.operators import clean as C
+from tallyframe.operators import decisions as D
 from tallyframe.operators import kpi as K
 from tallyframe.operators import profile as P
 from tallyframe.operators import stats as X
@@ -290,6 +291,35 @@ def x5_skewness(spark, sf_dir):
     return _r(X.skewness(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]))
 
 
+# ---------------------------------------------------------------------------
+# Decisions (orders plus a duplicated slice; no model results, like the
+# first decision pass of the pipeline)
+# ---------------------------------------------------------------------------
+
+DECISION_COLS = ["kind", "rule_id", "ord", "level", "type", "title", "expected_impact"]
+
+
+def _decision_inputs(spark, sf_dir, by=()):
+    rows = TB.orders_with_copies(spark, sf_dir)
+    s = A.summarize(rows, money_scale=MONEY)
+    primary = K.primary_metric(s.table, s.meta["value_cols"], "o_totalprice")
+    return D.decision_inputs(rows, s.table, s.meta, primary, by=by)
+
+
+def d_decisions(spark, sf_dir):
+    return D.decide(_decision_inputs(spark, sf_dir)).select(*DECISION_COLS)
+
+
+def d_decisions_by_status(spark, sf_dir):
+    by = ["o_orderstatus"]
+    return D.decide(_decision_inputs(spark, sf_dir, by), by).select(*by, *DECISION_COLS)
+
+
+def d11_decision_counts(spark, sf_dir):
+    by = ["o_orderstatus"]
+    return D.decision_counts(D.decide(_decision_inputs(spark, sf_dir, by), by), by)
+
+
 QUERIES = {
     "s6_preview": s6_preview,
     "s7_fingerprint": s7_fingerprint,
@@ -338,4 +368,7 @@ QUERIES = {
     "x3_top_predictors": x3_top_predictors,
     "x4_histograms": x4_histograms,
     "x5_skewness": x5_skewness,
+    "d_decisions": d_decisions,
+    "d_decisions_by_status": d_decisions_by_status,
+    "d11_decision_counts": d11_decision_counts,
 }

@@ -521,4 +521,7 @@ _RAW = {
     "x5_skewness": X5,
 }
 
+from tallyframe.plans import oracle_more  # noqa: E402  (uses the names above)
+
+_RAW.update(oracle_more.RAW)
 ORACLE = {k: _half_up(v) for k, v in _RAW.items()}
