@@ -17,6 +17,7 @@ from tallyframe.operators import decisions as D
 from tallyframe.operators import kpi as K
 from tallyframe.operators import profile as P
 from tallyframe.operators import stats as X
+from tallyframe.operators import text as T
 from tallyframe.operators import summarize as A
 from tallyframe.plans import tables as TB
 
@@ -320,6 +321,59 @@ def d11_decision_counts(spark, sf_dir):
     return D.decision_counts(D.decide(_decision_inputs(spark, sf_dir, by), by), by)
 
 
+# ---------------------------------------------------------------------------
+# Text (whole documents and conversation tables)
+# ---------------------------------------------------------------------------
+
+def _doc_chunks(spark, sf_dir):
+    return T.chunk_text(TB.load(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+def t1_chunks(spark, sf_dir):
+    from tallyframe.functions.columns import split_words
+    c = F.col("chunk")
+    return _doc_chunks(spark, sf_dir).select("doc_id", "chunk_no", F.size(split_words(c)).alias("n_words"),
+                                             F.length(c).alias("n_chars"), F.md5(c).alias("chunk_md5"))
+
+
+def t3_cosine_topk(spark, sf_dir):
+    emb = TB.load(spark, sf_dir, "embeddings")
+    queries = T.label_centroids(emb, "label", "embedding")
+    return _r(T.cosine_topk(queries, "label", "centroid", emb, "vec_id", "embedding", 7))
+
+
+def _user_turns(spark, sf_dir):
+    conv = TB.load(spark, sf_dir, "conversations")
+    return conv.where(F.col("role") == "user").select(
+        F.format_string("%d:%d", "conv_id", "turn").alias("q_id"), "text")
+
+
+def t4_keyword_topk(spark, sf_dir):
+    return T.keyword_topk(_user_turns(spark, sf_dir), "q_id", "text", _doc_chunks(spark, sf_dir),
+                          ["doc_id", "chunk_no"], "chunk", 7)
+
+
+def t5_intents(spark, sf_dir):
+    return T.route_intents(TB.load(spark, sf_dir, "conversations"), "text", ["conv_id", "turn"])
+
+
+def _flat_facts(df: DataFrame, text_col: str, ids: list[str]) -> DataFrame:
+    from tallyframe.functions import fixed
+    f = T.extract_facts(df, text_col, ids)
+    cols = [F.col(c) for c in ids] + [F.col(n) for n, _ in fixed.FACT_PATTERNS]
+    for name, pat in fixed.FACT_LIST_PATTERNS:
+        arr = F.col(name)
+        first = F.try_element_at(arr, F.lit(1))
+        if T._group_count(pat) > 1:
+            first = first["g1"]
+        cols += [F.size(arr).alias(f"n_{name}"), first.alias(f"{name}_first")]
+    return f.select(*cols)
+
+
+def t6_facts_documents(spark, sf_dir):
+    return _flat_facts(TB.load(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
 QUERIES = {
     "s6_preview": s6_preview,
     "s7_fingerprint": s7_fingerprint,
@@ -371,4 +425,9 @@ QUERIES = {
     "d_decisions": d_decisions,
     "d_decisions_by_status": d_decisions_by_status,
     "d11_decision_counts": d11_decision_counts,
+    "t1_chunks": t1_chunks,
+    "t3_cosine_topk": t3_cosine_topk,
+    "t4_keyword_topk": t4_keyword_topk,
+    "t5_intents": t5_intents,
+    "t6_facts_documents": t6_facts_documents,
 }

@@ -101,3 +101,92 @@ RAW = {
     "d_decisions_by_status": D_DECISIONS_BY,
     "d11_decision_counts": D11,
 }
+
+# ---------------------------------------------------------------------------
+# text
+# ---------------------------------------------------------------------------
+
+from tallyframe.functions import fixed  # noqa: E402
+from tallyframe.functions.columns import WS_CLASS  # noqa: E402
+
+WS = WS_CLASS
+
+
+def _words(x):
+    stripped = f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+    return (f"CASE WHEN {stripped} = '' THEN []::VARCHAR[] "
+            f"ELSE regexp_split_to_array({stripped}, '{WS}+') END")
+
+
+DOC_CHUNKS = f"""(WITH d AS (SELECT doc_id, text, {_words('text')} AS w FROM documents),
+c AS (SELECT doc_id, text, list_filter(list_transform(range(0, greatest(1, len(w) - {fixed.CHUNK_OVERLAP}),
+  {fixed.CHUNK_WORDS - fixed.CHUNK_OVERLAP}), lambda s: array_to_string(w[s + 1:s + {fixed.CHUNK_WORDS}], ' ')),
+  lambda x: length(x) > {fixed.CHUNK_MIN_CHARS}) AS ch FROM d),
+e AS (SELECT doc_id, CASE WHEN len(ch) > 0 THEN ch ELSE [text] END AS ch FROM c)
+SELECT doc_id, CAST(generate_subscripts(ch, 1) - 1 AS INTEGER) AS chunk_no, unnest(ch) AS chunk FROM e)"""
+
+T1 = f"""SELECT doc_id, chunk_no, CAST(len({_words('chunk')}) AS INTEGER) AS n_words,
+  CAST(length(chunk) AS INTEGER) AS n_chars, md5(chunk) AS chunk_md5 FROM {DOC_CHUNKS} t"""
+
+T3 = """WITH u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+c AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x FROM u GROUP BY ALL),
+cv AS (SELECT label, list(x ORDER BY pos) AS v FROM c GROUP BY label),
+qn AS (SELECT label AS q_id, list_transform(v, lambda a: a / sqrt(list_sum(list_transform(v, lambda b: b * b)))) AS v FROM cv),
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+cn AS (SELECT vec_id AS c_id, list_transform(v, lambda a: a / sqrt(list_sum(list_transform(v, lambda b: b * b)))) AS v FROM e),
+s AS (SELECT q_id, c_id, list_dot_product(qn.v, cn.v) AS score FROM qn, cn),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, c_id) AS rank FROM s)
+SELECT q_id, c_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 7"""
+
+T4 = f"""WITH q AS (SELECT format('{{}}:{{}}', conv_id, turn) AS q_id, text FROM conversations WHERE role = 'user'),
+qw AS (SELECT DISTINCT q_id, unnest(list_distinct({_words('lower(text)')})) AS w FROM q),
+ch AS (SELECT * FROM {DOC_CHUNKS} x),
+cw AS (SELECT DISTINCT doc_id, chunk_no, unnest({_words('lower(chunk)')}) AS w FROM ch),
+hits AS (SELECT q_id, doc_id, chunk_no, count(*) AS score FROM qw JOIN cw USING (w) GROUP BY ALL),
+fst AS (SELECT doc_id, chunk_no FROM ch ORDER BY doc_id, chunk_no LIMIT 7),
+fill AS (SELECT q_id, doc_id, chunk_no, 0 AS score FROM (SELECT DISTINCT q_id FROM q) a, fst),
+b AS (SELECT q_id, doc_id, chunk_no, max(score) AS score FROM (SELECT * FROM hits UNION ALL SELECT * FROM fill) u
+  GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id, chunk_no) AS rank FROM b)
+SELECT q_id, doc_id, chunk_no, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 7"""
+
+
+def _intent_case(x):
+    out = "CASE"
+    for name, words in fixed.INTENTS:
+        cond = " OR ".join(f"contains(lower({x}), '{w}')" for w in words)
+        out += f" WHEN {cond} THEN '{name}'"
+    return out + f" ELSE '{fixed.FALLBACK_INTENT}' END"
+
+
+T5 = f"SELECT conv_id, turn, {_intent_case('text')} AS intent FROM conversations"
+
+
+def _sql_str(s):
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _facts_sql(src, text, ids):
+    import re
+    cols = list(ids)
+    for name, pat in fixed.FACT_PATTERNS:
+        p = _sql_str("(?i)" + pat)
+        cols.append(f"CASE WHEN regexp_matches({text}, {p}) THEN regexp_replace(regexp_extract({text}, {p}, 1), "
+                    f"'\\.+\\z', '') END AS {name}")
+    for name, pat in fixed.FACT_LIST_PATTERNS:
+        p = _sql_str(pat)
+        cols.append(f"CAST(len(regexp_extract_all({text}, {p}, 1)) AS INTEGER) AS n_{name}")
+        cols.append(f"regexp_extract_all({text}, {p}, 1)[1] AS {name}_first")
+        assert re.compile(pat).groups >= 1
+    return "SELECT " + ",\n  ".join(cols) + f" FROM {src}"
+
+
+T6 = _facts_sql("documents", "text", ["doc_id"])
+
+RAW.update({
+    "t1_chunks": T1,
+    "t3_cosine_topk": T3,
+    "t4_keyword_topk": T4,
+    "t5_intents": T5,
+    "t6_facts_documents": T6,
+})
