@@ -15,6 +15,7 @@ from tallyframe.functions.columns import round_doubles
 from tallyframe.operators import clean as C
 from tallyframe.operators import decisions as D
 from tallyframe.operators import kpi as K
+from tallyframe.operators import modeling as M
 from tallyframe.operators import profile as P
 from tallyframe.operators import stats as X
 from tallyframe.operators import text as T
@@ -374,6 +375,90 @@ def t6_facts_documents(spark, sf_dir):
     return _flat_facts(TB.load(spark, sf_dir, "documents"), "text", ["doc_id"])
 
 
+# ---------------------------------------------------------------------------
+# Models
+# ---------------------------------------------------------------------------
+
+def m1_task_detection(spark, sf_dir):
+    li = TB.load(spark, sf_dir, "lineitem")
+    rows = [(t, M.detect_task(li, t)) for t in ["l_extendedprice", "l_linenumber", "l_returnflag", "l_discount"]]
+    return spark.createDataFrame(rows, "target string, task string")
+
+
+def m3_label_encoding(spark, sf_dir):
+    o = TB.orders_padded(spark, sf_dir).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return M.encode_strings(C.trim_and_nullify(o), ["o_orderstatus", "o_orderpriority"])
+
+
+def m4_prepare_impute(spark, sf_dir):
+    li = TB.lineitem_with_nulls(spark, sf_dir).drop("l_shipdate", "l_orderkey", "l_partkey", "l_suppkey")
+    return _r(M.prepare(li, "l_extendedprice").data.drop("__h"))
+
+
+def _fitted_lines(spark, sf_dir):
+    """l_extendedprice predicted by a least-squares line on each of three
+    columns (fitted over the whole table) - a prediction table for M11/M12."""
+    li = TB.load(spark, sf_dir, "lineitem")
+    xs = ["l_quantity", "l_discount", "l_tax"]
+    y = F.col("l_extendedprice")
+    fit = li.agg(*[F.struct(F.regr_slope(y, F.col(x)).alias("b"), F.regr_intercept(y, F.col(x)).alias("a"))
+                   .alias(x) for x in xs])
+    arr = F.array(*[F.struct(F.lit(x).alias("model"), F.lit(i).alias("model_order"),
+                             (F.col(f"f.{x}.a") + F.col(f"f.{x}.b") * F.col(x)).alias("prediction"))
+                    for i, x in enumerate(xs)])
+    joined = li.select("l_extendedprice", *xs, F.lit(1).alias("__k")).join(
+        F.broadcast(fit.select(F.struct(*xs).alias("f"), F.lit(1).alias("__k"))), "__k")
+    return joined.select(y.alias("label"), F.explode(arr).alias("p")).select("label", "p.*")
+
+
+def m11_regression_metrics(spark, sf_dir):
+    return _r(M.regression_metrics(_fitted_lines(spark, sf_dir), by=["model"]))
+
+
+def m11_classification_metrics(spark, sf_dir):
+    lab = TB.load(spark, sf_dir, "labels")
+    return _r(M.classification_metrics(lab, "quality", "toxic"))
+
+
+def m12_best_model(spark, sf_dir):
+    met = M.regression_metrics(_fitted_lines(spark, sf_dir), by=["model", "model_order"])
+    return _r(met.orderBy(F.col("r2_pct").desc(), "model_order").limit(1))
+
+
+def _orders_training(spark, sf_dir, cv=True):
+    return M.train_models(_orders_summary(spark, sf_dir).table, "o_totalprice", cv=cv)
+
+
+def _quality_training(spark, sf_dir, cv=True):
+    docs = TB.load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    df = TB.load(spark, sf_dir, "labels").join(docs, "doc_id").drop("doc_id")
+    return M.train_models(df, "quality", cv=cv)
+
+
+def m_train_regression(spark, sf_dir):
+    return _orders_training(spark, sf_dir).results
+
+
+def m_train_classification(spark, sf_dir):
+    return _quality_training(spark, sf_dir).results
+
+
+def m13_importance(spark, sf_dir):
+    return _quality_training(spark, sf_dir, cv=False).importance
+
+
+def m14_permutation(spark, sf_dir):
+    return _orders_training(spark, sf_dir, cv=False).permutation
+
+
+def m15_predictions(spark, sf_dir):
+    return _orders_training(spark, sf_dir, cv=False).predictions
+
+
+def m16_comparison(spark, sf_dir):
+    return M.comparison_table(_quality_training(spark, sf_dir).results)
+
+
 QUERIES = {
     "s6_preview": s6_preview,
     "s7_fingerprint": s7_fingerprint,
@@ -430,4 +515,16 @@ QUERIES = {
     "t4_keyword_topk": t4_keyword_topk,
     "t5_intents": t5_intents,
     "t6_facts_documents": t6_facts_documents,
+    "m1_task_detection": m1_task_detection,
+    "m3_label_encoding": m3_label_encoding,
+    "m4_prepare_impute": m4_prepare_impute,
+    "m11_regression_metrics": m11_regression_metrics,
+    "m11_classification_metrics": m11_classification_metrics,
+    "m12_best_model": m12_best_model,
+    "m_train_regression": m_train_regression,
+    "m_train_classification": m_train_classification,
+    "m13_importance": m13_importance,
+    "m14_permutation": m14_permutation,
+    "m15_predictions": m15_predictions,
+    "m16_comparison": m16_comparison,
 }

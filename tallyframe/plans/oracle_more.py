@@ -190,3 +190,82 @@ RAW.update({
     "t5_intents": T5,
     "t6_facts_documents": T6,
 })
+
+# ---------------------------------------------------------------------------
+# models
+# ---------------------------------------------------------------------------
+
+M1 = """SELECT 'l_extendedprice' AS target, CASE WHEN count(DISTINCT l_extendedprice) <= 10 THEN 'classification'
+  ELSE 'regression' END AS task FROM lineitem
+UNION ALL SELECT 'l_linenumber', CASE WHEN count(DISTINCT l_linenumber) <= 10 THEN 'classification'
+  ELSE 'regression' END FROM lineitem
+UNION ALL SELECT 'l_returnflag', 'classification'
+UNION ALL SELECT 'l_discount', CASE WHEN count(DISTINCT l_discount) <= 10 THEN 'classification'
+  ELSE 'regression' END FROM lineitem"""
+
+_PAD = f"""(SELECT o_orderkey,
+  CASE WHEN s1 IN ('nan', 'None', '') THEN NULL ELSE s1 END AS o_orderstatus,
+  CASE WHEN s2 IN ('nan', 'None', '') THEN NULL ELSE s2 END AS o_orderpriority FROM
+  (SELECT o_orderkey, regexp_replace('  ' || o_orderstatus || ' ', '^{WS}+|{WS}+$', '', 'g') AS s1,
+    regexp_replace(CASE WHEN o_orderkey % 11 = 0 THEN 'None' WHEN o_orderkey % 13 = 0 THEN 'nan'
+       WHEN o_orderkey % 17 = 0 THEN '' ELSE chr(9) || o_orderpriority END, '^{WS}+|{WS}+$', '', 'g') AS s2
+   FROM orders) a)"""
+
+M3 = f"""WITH t AS (SELECT o_orderkey, coalesce(o_orderstatus, 'nan') AS s, coalesce(o_orderpriority, 'nan') AS p
+  FROM {_PAD} x),
+ds AS (SELECT s, CAST(dense_rank() OVER (ORDER BY s) - 1 AS DOUBLE) AS cs FROM (SELECT DISTINCT s FROM t) a),
+dp AS (SELECT p, CAST(dense_rank() OVER (ORDER BY p) - 1 AS DOUBLE) AS cp FROM (SELECT DISTINCT p FROM t) b)
+SELECT o_orderkey, cs AS o_orderstatus, cp AS o_orderpriority FROM t JOIN ds USING (s) JOIN dp USING (p)"""
+
+_LN = """(SELECT l_linenumber, l_quantity, l_extendedprice,
+  CASE WHEN l_orderkey % 7 <> 0 THEN l_discount END AS l_discount,
+  CASE WHEN l_orderkey % 10 = 0 THEN l_tax END AS l_tax,
+  CASE WHEN l_orderkey % 3 <> 0 THEN l_returnflag END AS l_returnflag, l_linestatus FROM lineitem)"""
+
+M4 = f"""WITH t AS (SELECT * FROM {_LN} x),
+m AS (SELECT quantile_cont(l_discount, 0.5) AS md, quantile_cont(l_tax, 0.5) AS mt FROM t),
+rf AS (SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS DOUBLE) AS c
+  FROM (SELECT DISTINCT coalesce(l_returnflag, 'nan') AS v FROM t) a),
+ls AS (SELECT v, CAST(dense_rank() OVER (ORDER BY v) - 1 AS DOUBLE) AS c
+  FROM (SELECT DISTINCT coalesce(l_linestatus, 'nan') AS v FROM t) b)
+SELECT CAST(l_linenumber AS DOUBLE) AS l_linenumber, round(l_quantity, 4) AS l_quantity,
+  round(coalesce(l_discount, m.md), 4) AS l_discount, round(coalesce(l_tax, m.mt), 4) AS l_tax,
+  rf.c AS l_returnflag, ls.c AS l_linestatus, round(l_extendedprice, 4) AS label
+FROM t CROSS JOIN m JOIN rf ON coalesce(t.l_returnflag, 'nan') = rf.v JOIN ls ON coalesce(t.l_linestatus, 'nan') = ls.v"""
+
+_LINES = """(SELECT 'l_quantity' AS model, 0 AS model_order, l_extendedprice AS label,
+   (SELECT regr_intercept(l_extendedprice, l_quantity) FROM lineitem)
+   + (SELECT regr_slope(l_extendedprice, l_quantity) FROM lineitem) * l_quantity AS prediction FROM lineitem
+ UNION ALL SELECT 'l_discount', 1, l_extendedprice,
+   (SELECT regr_intercept(l_extendedprice, l_discount) FROM lineitem)
+   + (SELECT regr_slope(l_extendedprice, l_discount) FROM lineitem) * l_discount FROM lineitem
+ UNION ALL SELECT 'l_tax', 2, l_extendedprice,
+   (SELECT regr_intercept(l_extendedprice, l_tax) FROM lineitem)
+   + (SELECT regr_slope(l_extendedprice, l_tax) FROM lineitem) * l_tax FROM lineitem)"""
+
+_REG = """SELECT model, {extra}round(CASE WHEN var_pop(label) * count(*) > 0
+    THEN 1 - sum((label - prediction) * (label - prediction)) / (var_pop(label) * count(*))
+    WHEN sum((label - prediction) * (label - prediction)) = 0 THEN 1.0 ELSE 0.0 END * 100, 4) AS r2_pct,
+  round(sqrt(sum((label - prediction) * (label - prediction)) / count(*)), 4) AS rmse, count(*) AS n
+FROM {src} p GROUP BY ALL"""
+
+M11_REG = _REG.format(extra="", src=_LINES)
+M12 = f"""SELECT * FROM ({_REG.format(extra="model_order, ", src=_LINES)}) r ORDER BY r2_pct DESC, model_order LIMIT 1"""
+
+M11_CLS = """WITH b AS (SELECT CAST(quality AS DOUBLE) AS y, CAST(toxic AS DOUBLE) AS p FROM labels),
+a AS (SELECT y AS c, count(*) AS support, sum(CASE WHEN y = p THEN 1 ELSE 0 END) AS tp FROM b GROUP BY 1),
+pr AS (SELECT p AS c, count(*) AS npred FROM b GROUP BY 1),
+per AS (SELECT a.*, coalesce(pr.npred, 0) AS npred FROM a LEFT JOIN pr USING (c)),
+f AS (SELECT *, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS prec, tp / support AS rec FROM per)
+SELECT round(sum(tp) / sum(support) * 100, 4) AS accuracy_pct,
+  round(sum(CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END * support) / sum(support) * 100, 4)
+    AS f1_pct, sum(support) AS n FROM f"""
+
+RAW.update({
+    "m1_task_detection": M1,
+    "m3_label_encoding": M3,
+    "m4_prepare_impute": M4,
+    "m11_regression_metrics": M11_REG,
+    "m11_classification_metrics": M11_CLS,
+    "m12_best_model": M12,
+})
