@@ -95,3 +95,21 @@ def money_sum(c: Column, scale: int | None) -> Column:
     if scale is None:
         return F.sum(c)
     return F.sum(c.cast(T.DecimalType(38, scale))).cast("double")
+
+
+# Text formatting of numbers (Python format specs re-expressed; the value is
+# rounded half-up in IEEE arithmetic first so every formatter agrees).
+
+def fmt_fixed(c: Column, digits: int = 1, sign: bool = False) -> Column:
+    """``f"{x:.{d}f}"`` (``+`` with ``sign``)."""
+    return F.format_string(("%+." if sign else "%.") + f"{digits}f", round_half_up(c, digits))
+
+
+def fmt_thousands(c: Column, digits: int = 0) -> Column:
+    """``f"{x:,.{d}f}"``."""
+    return F.format_number(round_half_up(c, digits), digits)
+
+
+def fmt_repr(c: Column, digits: int) -> Column:
+    """``str(round(x, d))`` for values below 1e7."""
+    return round_half_up(c, digits).cast("string")

@@ -32,6 +32,7 @@ INPUT_SCHEMA = [
     ("top_value", "double"), ("gap_pct", "double"), ("lift_value", "double"), ("lift_share", "double"),
     ("best_model", "string"), ("task", "string"), ("overfit_gap", "double"), ("best_score", "double"),
     ("top_feature", "string"), ("top_feature_share", "double"),
+    ("primary_total", "double"), ("primary_mean", "double"),
 ]
 
 

@@ -459,6 +459,44 @@ def m16_comparison(spark, sf_dir):
     return M.comparison_table(_quality_training(spark, sf_dir).results)
 
 
+# ---------------------------------------------------------------------------
+# Facts, answers, report (orders, target o_totalprice)
+# ---------------------------------------------------------------------------
+
+def _orders_analysis(spark, sf_dir, train=False):
+    from tallyframe.operators import report as R
+    return R.analyze(TB.load(spark, sf_dir, "orders"), "o_totalprice", train=train, money_scale=MONEY)
+
+
+def t8_context_lines(spark, sf_dir):
+    from tallyframe.operators import report as R
+    return R.context_lines(_orders_analysis(spark, sf_dir))
+
+
+def t7_answers(spark, sf_dir):
+    from tallyframe.operators import answers as Q
+    from tallyframe.operators import report as R
+    lines = R.context_lines(_orders_analysis(spark, sf_dir))
+    return Q.answer_questions(_user_turns(spark, sf_dir), "q_id", "text", lines)
+
+
+def r1_report(spark, sf_dir):
+    from tallyframe.operators import report as R
+    return R.report_lines(_orders_analysis(spark, sf_dir))
+
+
+def r1_report_models(spark, sf_dir):
+    from tallyframe.operators import report as R
+    return R.report_lines(_orders_analysis(spark, sf_dir, train=True))
+
+
+def s4_report_plain(spark, sf_dir):
+    from tallyframe.operators import report as R
+    from tallyframe.sources.files import plain_text
+    lines = R.report_lines(_orders_analysis(spark, sf_dir))
+    return lines.select("section", "ord", "sub", plain_text(F.col("line")).alias("line"))
+
+
 QUERIES = {
     "s6_preview": s6_preview,
     "s7_fingerprint": s7_fingerprint,
@@ -527,4 +565,9 @@ QUERIES = {
     "m14_permutation": m14_permutation,
     "m15_predictions": m15_predictions,
     "m16_comparison": m16_comparison,
+    "t8_context_lines": t8_context_lines,
+    "t7_answers": t7_answers,
+    "r1_report": r1_report,
+    "r1_report_models": r1_report_models,
+    "s4_report_plain": s4_report_plain,
 }
