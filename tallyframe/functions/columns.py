@@ -89,12 +89,15 @@ def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
 def money_sum(c: Column, scale: int | None) -> Column:
     """Sum that does not depend on row order when ``scale`` is given.
 
-    Values with at most ``scale`` decimals are added as DECIMAL(38, scale),
-    which is exact, so the result is identical on any partitioning.
+    Values with at most ``scale`` decimals are added as whole units of
+    10^-scale in BIGINT (exact, so identical on any partitioning, and kept in
+    the long-arithmetic code path; DECIMAL(38, s) sums go through BigDecimal
+    objects).  The result is converted back to double once, at the end.
     """
     if scale is None:
         return F.sum(c)
-    return F.sum(c.cast(T.DecimalType(38, scale))).cast("double")
+    unit = 10 ** scale
+    return F.sum(F.round(c.cast("double") * unit).cast("bigint")).cast("double") / float(unit)
 
 
 # Text formatting of numbers (Python format specs re-expressed; the value is
