@@ -37,6 +37,27 @@ def _orders_summary(spark, sf_dir):
 # Sources
 # ---------------------------------------------------------------------------
 
+def s1_csv_roundtrip(spark, sf_dir):
+    """orders written as CSV to the shared folder, read back with the null
+    tokens and the sample-based type inference."""
+    from tallyframe.session import shared_path
+    from tallyframe.sources.files import read_csv, write_csv
+    o = TB.load(spark, sf_dir, "orders").drop("o_orderdate")
+    path = write_csv(o, shared_path(spark, "orders-csv"))
+    return _r(read_csv(spark, path))
+
+
+def s2_read_many(spark, sf_dir):
+    """Two CSV inputs with different columns stacked by name."""
+    from tallyframe.session import shared_path
+    from tallyframe.sources.files import read_csv, read_many, write_csv
+    o = TB.load(spark, sf_dir, "orders").drop("o_orderdate")
+    first = write_csv(o.where(F.col("o_orderstatus") == "F"), shared_path(spark, "orders-f"))
+    rest = write_csv(o.where(F.col("o_orderstatus") != "F").withColumn("note", F.lit("NA")),
+                     shared_path(spark, "orders-rest"))
+    return _r(read_many([read_csv(spark, first), read_csv(spark, rest)]))
+
+
 def s6_preview(spark, sf_dir):
     return _r(TB.load(spark, sf_dir, "orders").orderBy("o_orderkey").limit(10))
 
@@ -455,6 +476,10 @@ def m15_predictions(spark, sf_dir):
     return _orders_training(spark, sf_dir, cv=False).predictions
 
 
+def r2_model_insight(spark, sf_dir):
+    return M.model_insight(_quality_training(spark, sf_dir, cv=False))
+
+
 def m16_comparison(spark, sf_dir):
     return M.comparison_table(_quality_training(spark, sf_dir).results)
 
@@ -498,6 +523,8 @@ def s4_report_plain(spark, sf_dir):
 
 
 QUERIES = {
+    "s1_csv_roundtrip": s1_csv_roundtrip,
+    "s2_read_many": s2_read_many,
     "s6_preview": s6_preview,
     "s7_fingerprint": s7_fingerprint,
     "p1_roles_orders": p1_roles_orders,
@@ -565,6 +592,7 @@ QUERIES = {
     "m14_permutation": m14_permutation,
     "m15_predictions": m15_predictions,
     "m16_comparison": m16_comparison,
+    "r2_model_insight": r2_model_insight,
     "t8_context_lines": t8_context_lines,
     "t7_answers": t7_answers,
     "r1_report": r1_report,

@@ -269,3 +269,14 @@ RAW.update({
     "m11_classification_metrics": M11_CLS,
     "m12_best_model": M12,
 })
+
+# ---------------------------------------------------------------------------
+# sources
+# ---------------------------------------------------------------------------
+
+S1 = """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, o_orderpriority
+FROM orders"""
+S2 = """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, o_orderpriority,
+  CAST(NULL AS VARCHAR) AS note FROM orders"""
+
+RAW.update({"s1_csv_roundtrip": S1, "s2_read_many": S2})
