@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    from tallyframe.sources.files import read_table
+    return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def lineitem_with_nulls(spark, sf_dir) -> DataFrame:

@@ -49,6 +49,22 @@ def read_csv(spark: SparkSession, path, null_tokens=tuple(fixed.CSV_NULL_TOKENS)
                         for c in raw.columns])
 
 
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table scan that is at least as wide as the cluster.
+
+    A large table arrives in many splits and is returned as is.  A file
+    with a single row group scans in one task, and everything before the
+    first shuffle would run there; such a scan is spread round-robin over
+    the default parallelism (a shuffle of a small input, none at scale).
+    Filters and column pruning still reach the scan below the exchange.
+    """
+    df = spark.read.format(fmt).load(path)
+    width = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < width:
+        df = df.repartition(width)
+    return df
+
+
 def read_many(frames: list[DataFrame]) -> DataFrame:
     """Stack inputs by column name; missing columns become NULL."""
     out = frames[0]
