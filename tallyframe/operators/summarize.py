@@ -46,7 +46,7 @@ def string_distinct_counts(df: DataFrame, cols: list[str], exact_below: int = 10
     depend on them (HLL estimate <= ``exact_below``), else the estimate."""
     if not cols:
         return {}
-    row = df.agg(*[F.approx_count_distinct(_q(c), 0.01).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+    row = df.agg(*[F.approx_count_distinct(_q(c), 0.05).alias(f"a{i}") for i, c in enumerate(cols)]).first()
     approx = {c: row[f"a{i}"] for i, c in enumerate(cols)}
     small = [c for c in cols if approx[c] <= exact_below]
     exact = {r["column"]: r["n_distinct"] for r in exact_distinct_counts(df, small).collect()} if small else {}
