@@ -24,7 +24,11 @@ def infer_types(raw: DataFrame, sample_rows: int = 5000) -> dict:
     for i, c in enumerate(raw.columns):
         aggs.append(F.count(_q(c)).alias(f"n{i}"))
         for t in _INFER_ORDER:
-            aggs.append(F.count(F.expr(f"try_cast(`{c}` AS {t})")).alias(f"{t}{i}"))
+            if t == "boolean":   # only true/false literals, not Spark's wider set (t, f, y, n, 1, 0)
+                ok = F.when(F.lower(F.trim(_q(c))).isin("true", "false"), F.lit(1))
+            else:
+                ok = F.expr(f"try_cast(`{c}` AS {t})")
+            aggs.append(F.count(ok).alias(f"{t}{i}"))
     row = sample.agg(*aggs).first()
     out = {}
     for i, c in enumerate(raw.columns):
