@@ -20,7 +20,7 @@ LINEITEM_NULLS = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_qu
   CASE WHEN l_orderkey % 3 <> 0 THEN l_returnflag END AS l_returnflag,
   l_linestatus, l_shipdate FROM lineitem)"""
 
-ORDERS_COPIES = "(SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderkey < 1000)"
+ORDERS_COPIES = "(SELECT * FROM orders UNION ALL SELECT * FROM orders)"
 
 ORDERS_PADDED = """(SELECT o_orderkey, '  ' || o_orderstatus || ' ' AS o_orderstatus,
   CASE WHEN o_orderkey % 11 = 0 THEN 'None' WHEN o_orderkey % 13 = 0 THEN 'nan'
