@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -45,10 +46,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; only when none is set
-    (local tests) create a scratch folder."""
+    """The folder that driver and executors share, from
+    ``spark.checkpoint.dir``.  Only a session in one process (tests) may
+    leave it unset and gets a scratch folder; on a cluster that would be a
+    folder of one machine, so it is an error there."""
     d = checkpoint_dir(spark)
     if not d:
+        if not re.match(r"local(\[[^-]*)?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tallyframe-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
     elif not spark.sparkContext.getCheckpointDir():
