@@ -5,7 +5,8 @@ maximisation over the counts of vote patterns (at most 3 to the number of
 rules, however large the corpus) estimates how often each rule is right on
 good and on bad texts; a text's verdict is its posterior probability of
 being good.  A rule that seldom speaks against good texts so weighs much
-when it does, and no rule can reject alone unless it has earned that.
+when it does.  A rule that speaks alone can't be told from a rule that errs,
+so each known kind of bad text is covered by two rules or more.
 """
 
 from __future__ import annotations
@@ -13,25 +14,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import SPACES, fresh, let, word_array
+from tallyframe.llm.common import fresh, let, materialize, word_array
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
+MARKS = r"[!-/:-@\[-`{-~]"
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 ROUNDS = 30
 KEEP_AT = 0.5
-#: Start and bounds of the estimates.
-PRIOR, RIGHT_ON_GOOD, RIGHT_ON_BAD = 0.85, 0.95, 0.4
-LEAST, MOST = 0.02, 0.995
+#: Start values, and the range that each estimate stays in.  The ranges say
+#: what a rule is written for: it speaks against few good texts (so the
+#: classes can't swap), and it may know only one kind of bad text.
+PRIOR, RIGHT_ON_GOOD, RIGHT_ON_BAD = 0.85, 0.99, 0.3
+PRIOR_RANGE, GOOD_RANGE, BAD_RANGE = (0.5, 0.95), (0.98, 0.999), (0.1, 0.9)
 
 #: Rules: name, condition for good, condition for bad, over the features.
 RULES = [
     ("word_length", "word_chars >= 3 * n_words and word_chars <= 10 * n_words",
      "2 * word_chars < 5 * n_words or word_chars > 14 * n_words"),
     ("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    ("line_copies", "n_lines >= 3 and n_dup_lines = 0", "n_lines >= 3 and 10 * n_dup_lines > 3 * n_lines"),
-    ("phrase_copies", "n_repeat_words = 0", "100 * n_repeat_words > 15 * n_words"),
+    ("punctuation", "20 * n_marks <= word_chars", "100 * n_marks > 8 * word_chars"),
+    ("line_copies", "n_lines >= 3 and n_dup_lines = 0", "n_lines >= 3 and 2 * n_dup_lines > n_lines"),
+    ("phrase_copies", "n_repeat_words = 0", "4 * n_repeat_words > n_words"),
     ("capitals", "10 * n_capitals <= word_chars", "10 * n_capitals > 3 * word_chars"),
     ("exclaims", "50 * n_exclaims <= n_words", "5 * n_exclaims > n_words"),
     ("sentence_ends", "2 * n_ended_lines >= n_lines", "n_words >= 50 and n_ended_lines = 0"),
@@ -39,8 +44,9 @@ RULES = [
 ]
 
 
-def _taken_out(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """Occurrences of any character of a class."""
+    return F.size(F.split(text, chars)) - 1
 
 
 def repeat_words(words: Column, width: int = WINDOW) -> Column:
@@ -58,9 +64,11 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(
             let(F.sort_array(F.filter(marks, lambda p: p.isNotNull())), covered))
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)),
-                          lambda i: F.xxhash64(F.slice(words, i, width)))
-    return F.when(F.size(words) < width, F.lit(0)).otherwise(let(windows, repeated))
+    def windows(x: Column, i: Column) -> Column:   # by index: cheaper than a slice for each window
+        return F.xxhash64(x, *[F.get(words, i + k) for k in range(1, width)])
+
+    whole = F.slice(F.transform(words, windows), 1, F.size(words) - (width - 1))
+    return F.when(F.size(words) < width, F.lit(0)).otherwise(let(whole, repeated))
 
 
 def features(text: Column) -> Column:
@@ -73,14 +81,15 @@ def features(text: Column) -> Column:
             big = lambda c: c.cast("long")
             return F.struct(
                 big(F.size(w)).alias("n_words"),
-                big(F.length(F.translate(t, SPACES, ""))).alias("word_chars"),
-                big(_taken_out(t, SYMBOLS)).alias("n_symbols"),
+                big(F.length(F.array_join(w, ""))).alias("word_chars"),
+                big(_count(t, SYMBOLS)).alias("n_symbols"),
                 big(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
                 big(repeat_words(w)).alias("n_repeat_words"),
                 big(F.size(lines)).alias("n_lines"),
                 big(ended).alias("n_ended_lines"),
-                big(_taken_out(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).alias("n_capitals"),
-                big(_taken_out(t, "!")).alias("n_exclaims"))
+                big(_count(t, "[A-Z]")).alias("n_capitals"),
+                big(_count(t, "!")).alias("n_exclaims"),
+                big(_count(t, MARKS)).alias("n_marks"))
         return let(F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))), of_lines)
     return let(word_array(t), of_words)
 
@@ -101,15 +110,22 @@ def _posterior(vote, prior, good, bad) -> Column:
     return 1 / (1 + F.exp(-_log_odds(vote, prior, good, bad)))
 
 
-def _bounded(x: Column) -> Column:
-    return F.greatest(F.lit(LEAST), F.least(F.lit(MOST), x))
+def _bounded(x: Column, least: float, most: float) -> Column:
+    return F.greatest(F.lit(least), F.least(F.lit(most), x))
+
+
+def observe(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with one struct column of features (its name is returned
+    too), written down: texts are taken apart once."""
+    name, = fresh(docs, "features")
+    return materialize(docs.withColumn(name, features(F.col(f"`{text_col}`"))), "features"), name
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
-    """(prior, rates right on good, rates right on bad).  One pass counts
-    the vote patterns; the rounds run over those counts in one expression.
-    No rows leave the start values in place."""
-    seen = docs.select(features(F.col(f"`{text_col}`")).alias("f")).select("f.*").select(votes().alias("v"))
+def fit(seen: DataFrame, name: str, rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
+    """(prior, rates right on good, rates right on bad) from observed rows.
+    One aggregate counts the vote patterns; the rounds run over those
+    counts in one expression.  No rows leave the start values in place."""
+    seen = seen.select(F.col(f"{name}.*")).select(votes().alias("v"))
     counts = (seen.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("n"))
               .agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("p")).where("size(p) > 0"))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
@@ -129,9 +145,9 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[
                 mass = (lambda x: x["g"]) if vote == 1 else (lambda x: x["n"] - x["g"])
                 hit = total(F.transform(w, lambda x: F.when(F.get(x["v"], j) == vote, mass(x)).otherwise(0.0)))
                 spoke = total(F.transform(w, lambda x: F.when(F.get(x["v"], j) != 0, mass(x)).otherwise(0.0)))
-                start = RIGHT_ON_GOOD if vote == 1 else RIGHT_ON_BAD
-                return _bounded((hit + start) / (spoke + 1))
-            return F.struct(_bounded((g + PRIOR) / (n + 1)).alias("prior"),
+                start, span = (RIGHT_ON_GOOD, GOOD_RANGE) if vote == 1 else (RIGHT_ON_BAD, BAD_RANGE)
+                return _bounded((hit + start) / (spoke + 1), *span)
+            return F.struct(_bounded((g + PRIOR) / (n + 1), *PRIOR_RANGE).alias("prior"),
                             F.transform(at, lambda j: right(j, 1)).alias("good"),
                             F.transform(at, lambda j: right(j, -1)).alias("bad"))
         return let(weighed, rates)
@@ -142,28 +158,15 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> tuple[
     return row["m"]["prior"], list(row["m"]["good"]), list(row["m"]["bad"])
 
 
-def judge(docs: DataFrame, model, text_col: str = "text") -> tuple[DataFrame, str]:
-    """``docs`` with one struct column (its name is returned too) of the
-    features, base_failed, quality and kept."""
-    f, v = fresh(docs, "features", "verdict")
+def judge(seen: DataFrame, name: str, model) -> DataFrame:
+    """Observed rows with a verdict in place of the struct's raw votes:
+    columns base_failed, quality and kept join the struct."""
     prior, good, bad = model
     lits = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    part = lambda n: F.col(f"{f}.{n}")
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines",
-             "n_capitals", "n_exclaims"]
-
-    def rule(cond: str) -> Column:
-        import re
-        return F.expr(re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: f"`{f}`.{m[1]}", cond))
-
-    cast = F.array(*[F.when(rule(b), -1).when(rule(g), 1).otherwise(0) for _, g, b in RULES])
-    quality = let(cast, lambda x: _posterior(x, F.lit(float(prior)), lits(good), lits(bad)))
-    failed = (part("n_words") < MIN_WORDS) | (100 * part("n_repeat_words") > REPEAT_PERCENT * part("n_words"))
-    out = docs.withColumn(f, features(F.col(f"`{text_col}`")))
-    fields = [part(n).alias(n) for n in names]
-    out = out.withColumn(v, let(quality, lambda q: F.struct(
-        *fields, failed.alias("base_failed"), q.alias("quality"), (~failed & (q >= KEEP_AT)).alias("kept"))))
-    return out.drop(f), v
+    rows = seen.select(*seen.columns, F.col(f"{name}.*")).withColumn("quality", let(
+        votes(), lambda x: _posterior(x, F.lit(float(prior)), lits(good), lits(bad))))
+    failed = F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words")
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality") >= KEEP_AT))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,12 +174,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     posterior) and kept.  Null and empty texts have no words and fail the
     base check; repeated rows get equal rows; an empty table gives an empty
     one; only the id and text columns are read."""
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    out, v = judge(src, fit(src))
-    return out.select(F.col("id").alias(id_col), f"{v}.*")
+    seen = docs.select(F.col(f"`{id_col}`").alias("id"), features(F.col(f"`{text_col}`")).alias("f"))
+    seen = materialize(seen, "features")
+    return judge(seen, "f", fit(seen, "f")).drop("f").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns unchanged."""
-    out, v = judge(docs, fit(docs.select(F.col(f"`{text_col}`").alias("text"))), text_col)
-    return out.where(F.col(f"{v}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    seen, name = observe(docs, text_col)
+    row, = fresh(seen, "row")
+    whole = seen.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), name)
+    kept = judge(whole, name, fit(seen, name)).where("kept")
+    return kept.select(*[F.col(f"`{row}`").getField(c).alias(c) for c in docs.columns])
