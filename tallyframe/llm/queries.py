@@ -25,7 +25,36 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of documents by a model of the labels outside fold 0."""
+    from tallyframe.llm import quality_classifier as C
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    weights = C.fit(docs, labels.where(fold != 0))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return C.score(docs, weights).select("doc_id", held.alias("held_out"), "score",
+                                         (F.col("score") >= C.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of documents under the 32k piece vocabulary."""
+    import public_tokenizers
+    from tallyframe.llm import token_count as T
+    out = T.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents under the 50k byte-level vocabulary, and back."""
+    import public_tokenizers
+    from tallyframe.llm import bpe as B
+    return B.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
     "op5_simhash": op5_simhash,
+    "op8_token_count": op8_token_count,
+    "op10_bpe": op10_bpe,
 }
