@@ -19,6 +19,7 @@ from tallyframe.llm.common import fresh, let, materialize, word_array
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
 MARKS = r"[!-/:-@\[-`{-~]"
+LINE_END = r"[.!?:;\"')\]»“”…。][\x20\x09-\x0D]*$"
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 ROUNDS = 30
@@ -77,7 +78,7 @@ def features(text: Column) -> Column:
 
     def of_words(w: Column) -> Column:
         def of_lines(lines: Column) -> Column:
-            ended = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(r"[.!?:;\"')\]»“”…。][\x20\x09-\x0D]*$"))))
+            ended = F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(LINE_END))))
             big = lambda c: c.cast("long")
             return F.struct(
                 big(F.size(w)).alias("n_words"),

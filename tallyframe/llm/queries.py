@@ -36,6 +36,17 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          (F.col("score") >= C.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of sources at weights 1, 2, 3 takes of documents."""
+    from tallyframe.llm import source_mix as X
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out, name, sources = X.mix(docs)
+    out = out.select("doc_id", F.element_at(f"{name}.sources", 1).alias("source"), F.col(f"{name}.size").alias("size"),
+                     (F.col(f"{name}.size") * F.col(f"{name}.copies")).alias("taken"))
+    return (out.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+            .select("doc_id", "size", "source_size", "target", "taken"))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of documents under the 32k piece vocabulary."""
     import public_tokenizers
@@ -54,6 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
+    "op4_source_mix": op4_source_mix,
     "op5_simhash": op5_simhash,
     "op8_token_count": op8_token_count,
     "op10_bpe": op10_bpe,

@@ -1,3 +1,106 @@
 """DuckDB twins of the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from tallyframe.llm import quality_rules as _q
+from tallyframe.llm import source_mix as _x
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+#: Seeded order as one running sum per source; the level that shares rise to
+#: in closed form over sources by the ratio of bound and weight.
+SOURCE_MIX = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
+         md5('{_x.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+ranked AS (SELECT *, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight FROM src),
+steps AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap,
+         coalesce(sum(3 * source_size) OVER w, 0) AS kept,
+         row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source) AS k,
+         sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open_weight, sum(source_size) OVER () AS total
+  FROM ranked
+  WINDOW w AS (ORDER BY 3.0::DOUBLE * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min(CAST(total - kept AS DOUBLE) / open_weight, k) AS l FROM steps
+          WHERE CAST(total - kept AS DOUBLE) / open_weight <= cap / weight),
+target AS (SELECT s.*, least(cap, weight * l) AS target FROM steps s CROSS JOIN level),
+want AS (SELECT *, CAST(round(target) AS BIGINT) AS ask,
+                CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS copies,
+                CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) % source_size ELSE 0 END AS part FROM target),
+run AS (SELECT d.*, w.source_size, w.target, w.copies, w.part,
+               sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id) AS upto
+        FROM d JOIN want w ON d.source IS NOT DISTINCT FROM w.source),
+short AS (SELECT source, max(part) - coalesce(max(CASE WHEN upto <= part THEN upto END), 0) AS short FROM run GROUP BY source),
+extra AS (SELECT r.source, arg_max(doc_id, (size, draw, doc_id)) AS doc_id
+          FROM run r JOIN short s ON r.source IS NOT DISTINCT FROM s.source
+          WHERE upto > part AND size > 0 AND size <= short GROUP BY r.source)
+SELECT r.doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(size * (copies + CASE WHEN upto <= part OR r.doc_id = e.doc_id THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM run r LEFT JOIN extra e ON r.source IS NOT DISTINCT FROM e.source
+"""
+
+
+def _quality_rules() -> str:
+    """Features by unnesting, then each round of the estimates as a table."""
+    k, sep = len(_q.RULES), ",\n"
+    cast = sep.join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END AS v{j}"
+                    for j, (_, good, bad) in enumerate(_q.RULES))
+    names = ", ".join(f"v{j}" for j in range(k))
+
+    def odds(t: str) -> str:
+        each = " + ".join(f"(CASE v{j} WHEN 1 THEN ln({t}.g{j} / (1 - {t}.b{j})) WHEN -1 THEN ln((1 - {t}.g{j}) / {t}.b{j})"
+                          f" ELSE 0 END)" for j in range(k))
+        return f"(ln({t}.prior / (1 - {t}.prior)) + {each})"
+
+    def within(x: str, span) -> str:
+        return f"greatest({span[0]}, least({span[1]}, {x}))"
+
+    start = ", ".join(f"{_q.RIGHT_ON_GOOD}::DOUBLE AS g{j}, {_q.RIGHT_ON_BAD}::DOUBLE AS b{j}" for j in range(k))
+    ctes = [f"t0 AS MATERIALIZED (SELECT {_q.PRIOR}::DOUBLE AS prior, {start})"]
+    for i in range(_q.ROUNDS):
+        ctes.append(f"e{i} AS MATERIALIZED (SELECT p.*, n / (1 + exp(-{odds('t')})) AS g FROM patterns p CROSS JOIN t{i} t)")
+        rates = ", ".join(
+            within(f"(sum(CASE WHEN v{j} = 1 THEN g ELSE 0 END) + {_q.RIGHT_ON_GOOD}) / "
+                   f"(sum(CASE WHEN v{j} <> 0 THEN g ELSE 0 END) + 1)", _q.GOOD_RANGE) + f" AS g{j}, "
+            + within(f"(sum(CASE WHEN v{j} = -1 THEN n - g ELSE 0 END) + {_q.RIGHT_ON_BAD}) / "
+                     f"(sum(CASE WHEN v{j} <> 0 THEN n - g ELSE 0 END) + 1)", _q.BAD_RANGE) + f" AS b{j}" for j in range(k))
+        prior = within(f"(sum(g) + {_q.PRIOR}) / (sum(n) + 1)", _q.PRIOR_RANGE)
+        ctes.append(f"t{i + 1} AS MATERIALIZED (SELECT {prior} AS prior, {rates} FROM e{i})")
+    last = f"t{_q.ROUNDS}"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '{_WORD}') AS words FROM d),
+win AS (SELECT r, i, list_slice(words, i, i + 7) AS gram FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i
+        FROM w WHERE len(words) >= 8)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, CAST(sum(least(8, coalesce(nxt - i, 8))) AS BIGINT) AS n
+        FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM twice) GROUP BY r),
+lines AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM d),
+f AS (SELECT d.r, doc_id, CAST(len(words) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(regexp_replace(text, '{_q.SYMBOLS}', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+             CAST(len(l) AS BIGINT) AS n_lines,
+             CAST(len(list_filter(l, lambda x: regexp_matches(x, '{_q.LINE_END.replace("'", "''")}'))) AS BIGINT) AS n_ended_lines,
+             length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals,
+             length(text) - length(replace(text, '!', '')) AS n_exclaims,
+             length(text) - length(regexp_replace(text, '{_q.MARKS}', '', 'g')) AS n_marks
+      FROM d JOIN w ON d.r = w.r JOIN lines ON d.r = lines.r LEFT JOIN rep ON d.r = rep.r),
+v AS MATERIALIZED (SELECT *, {cast} FROM f),
+patterns AS MATERIALIZED (SELECT {names}, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY {names}),
+{sep.join(ctes)},
+q AS (SELECT v.*, 1 / (1 + exp(-{odds('t')})) AS quality,
+             n_words < {_q.MIN_WORDS} OR 100 * n_repeat_words > {_q.REPEAT_PERCENT} * n_words AS base_failed
+      FROM v CROSS JOIN {last} t)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND quality >= {_q.KEEP_AT} AS kept, round(quality, 4) AS quality FROM q
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op1_quality_rules": _quality_rules(),
+    "op4_source_mix": SOURCE_MIX,
+}
