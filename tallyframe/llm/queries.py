@@ -55,6 +55,13 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one, nearly or fully."""
+    from tallyframe.llm import line_dedup as L
+    out, name = L.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", f"{name}.*", "text")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of documents under the 50k byte-level vocabulary, and back."""
     import public_tokenizers
@@ -68,5 +75,6 @@ QUERIES = {
     "op4_source_mix": op4_source_mix,
     "op5_simhash": op5_simhash,
     "op8_token_count": op8_token_count,
+    "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
 }
