@@ -36,6 +36,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          (F.col("score") >= C.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of embeddings of one label at cosine 0.93."""
+    from tallyframe.llm import embedding_dedup as E
+    out = E.near_vectors(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("component_id", F.col("component_id").cast("long"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of sources at weights 1, 2, 3 takes of documents."""
     from tallyframe.llm import source_mix as X
@@ -72,6 +79,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_source_mix": op4_source_mix,
     "op5_simhash": op5_simhash,
     "op8_token_count": op8_token_count,

@@ -100,7 +100,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+#: All pairs of one label; the smallest id reachable by widening steps.
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL),
+n AS (SELECT vec_id, label, x, sqrt(list_sum(list_transform(x, lambda e: e * e))) AS norm FROM v),
+u AS (SELECT vec_id, label, x, norm FROM n WHERE norm > 0 AND isfinite(norm)),
+e AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.93),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id),
+d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT m.vec_id, coalesce(d.n, 0) AS n_links, c.root AS component_id, m.vec_id = c.root AS kept
+FROM embeddings m JOIN c ON c.id = m.vec_id LEFT JOIN d ON d.a = m.vec_id
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": _quality_rules(),
+    "op3_embedding_dedup": EMBEDDING_DEDUP,
     "op4_source_mix": SOURCE_MIX,
 }
