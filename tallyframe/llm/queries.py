@@ -54,6 +54,14 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in documents, by Dice coefficient with templates."""
+    from tallyframe.llm import license_scan as S
+    out = S.scan(table(spark, sf_dir, "documents"))
+    lines = F.array_join(F.transform(F.array_sort(F.transform("notices", lambda x: x["line"])), lambda x: x.cast("string")), ",")
+    return out.select("doc_id", "licence", F.round("dice", 9).alias("dice"), "n_notices", "licences", lines.alias("lines"))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of documents under the 32k piece vocabulary."""
     import public_tokenizers
@@ -82,6 +90,7 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_source_mix": op4_source_mix,
     "op5_simhash": op5_simhash,
+    "op7_license_scan": op7_license_scan,
     "op8_token_count": op8_token_count,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyframe.llm import license_scan as _s
 from tallyframe.llm import quality_rules as _q
 from tallyframe.llm import source_mix as _x
 
@@ -116,8 +117,40 @@ FROM embeddings m JOIN c ON c.id = m.vec_id LEFT JOIN d ON d.a = m.vec_id
 """
 
 
+def _license_scan() -> str:
+    """Segments and bigrams by unnesting, templates as rows."""
+    known = [(j, *t) for j, t in enumerate(_s.prepared())]
+    sizes = ", ".join(f"({j}, '{name}', {m}, {low}, {high})" for j, name, m, low, high, _ in known)
+    grams = ", ".join(f"({j}, '{g}', {c})" for j, *_, gs in known for g, c in gs)
+    words = f"list_filter(regexp_split_to_array(lower(x), '{_s.NOT_WORD}'), lambda w: w <> '')"
+    return rf"""
+WITH t(t, name, m, low, high) AS (VALUES {sizes}), g(t, gram, c) AS (VALUES {grams}),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+each_line AS (SELECT r, unnest(range(1, len(lines) + 1)) AS line, unnest(lines) AS x FROM d),
+words AS (SELECT r, line, {words} AS w FROM each_line),
+segs AS (SELECT r, line, w FROM words
+         UNION ALL SELECT r, 0, flatten(list(w ORDER BY line)) FROM words GROUP BY r HAVING count(*) > 1),
+fit AS (SELECT r, line, w, len(w) - 1 AS n FROM segs WHERE len(w) > 1 AND len(w) - 1 <= (SELECT max(high) FROM t)),
+two AS (SELECT r, line, n, gram, count(*) AS c FROM (
+          SELECT r, line, n, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM fit))
+        GROUP BY ALL),
+score AS (SELECT two.r, two.line, t.name, t.m, 2.0::DOUBLE * sum(least(two.c, g.c)) / (two.n + t.m) AS dice
+          FROM two JOIN g ON two.gram = g.gram JOIN t ON t.t = g.t GROUP BY two.r, two.line, two.n, t.t, t.name, t.m),
+hit AS (SELECT r, line, name, dice FROM score WHERE dice >= {_s.LEAST}
+        QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY dice DESC, m DESC, name) = 1),
+best AS (SELECT r, name, dice FROM hit
+         QUALIFY row_number() OVER (PARTITION BY r ORDER BY dice DESC, line = 0, line, name DESC) = 1),
+total AS (SELECT r, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names,
+                 string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM hit GROUP BY r)
+SELECT doc_id, best.name AS licence, round(best.dice, 9) AS dice, coalesce(total.n, 0) AS n_notices,
+       coalesce(total.names, '') AS licences, coalesce(total.lines, '') AS lines
+FROM d LEFT JOIN best ON best.r = d.r LEFT JOIN total ON total.r = d.r
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": _quality_rules(),
     "op3_embedding_dedup": EMBEDDING_DEDUP,
     "op4_source_mix": SOURCE_MIX,
+    "op7_license_scan": _license_scan(),
 }
