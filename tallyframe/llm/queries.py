@@ -54,6 +54,13 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents covered by repeated strings of 400 bytes."""
+    from tallyframe.llm import suffix_dedup as D
+    out = D.repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in documents, by Dice coefficient with templates."""
     from tallyframe.llm import license_scan as S
@@ -90,6 +97,7 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_source_mix": op4_source_mix,
     "op5_simhash": op5_simhash,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_token_count": op8_token_count,
     "op9_line_dedup": op9_line_dedup,

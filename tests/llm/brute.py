@@ -65,3 +65,21 @@ def line_dedup(rows, shingle=8, least=0.8):
         kept = [x for n, x in enumerate(t.split("\n")) if not WORD.search(x) or first[u.root(x)] == (i is None, i, n)]
         out.append((i, "\n".join(kept)))
     return out
+
+
+def suffix_dedup(texts, length=400):
+    """(bytes, removed, spans, kept bytes) of each text."""
+    raws = [(t or "").encode() for t in texts]
+    count = Counter(hash(r[i:i + length]) for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        gone = bytearray(len(r))
+        end = 0
+        for i in range(len(r) - length + 1):
+            if count[hash(r[i:i + length])] > 1:
+                for j in range(max(i, end), i + length):
+                    gone[j] = 1
+                end = i + length
+        spans = sum(1 for i in range(len(r)) if gone[i] and (i == 0 or not gone[i - 1]))
+        out.append((len(r), sum(gone), spans, bytes(b for b, g in zip(r, gone) if not g)))
+    return out
