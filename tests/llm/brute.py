@@ -83,3 +83,113 @@ def suffix_dedup(texts, length=400):
         spans = sum(1 for i in range(len(r)) if gone[i] and (i == 0 or not gone[i - 1]))
         out.append((len(r), sum(gone), spans, bytes(b for b, g in zip(r, gone) if not g)))
     return out
+
+
+def fingerprint(text, width=3):
+    import xxhash
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) if w]
+    grams = [b" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    hashes = [xxhash.xxh64(g, seed=42).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def simhash_groups(rows, distance=2):
+    """(fingerprint, smallest id reachable, group) of rows (id, text)."""
+    fps = [fingerprint(t) for _, t in rows]
+    u = Union()
+    distinct = sorted(set(fps))
+    for i, a in enumerate(distinct):
+        u.root(a)
+        for b in distinct[:i]:
+            if (a ^ b).bit_count() <= distance:
+                u.join(a, b)
+    first = {}
+    for (i, _), f in zip(rows, fps):
+        r = u.root(f)
+        if i is not None:
+            first[r] = min(first.get(r, i), i)
+    return [(f, first.get(u.root(f)), u.root(f)) for f in fps]
+
+
+def base_features(text):
+    words = WORD.findall(text or "")
+    windows = Counter(tuple(words[i:i + 8]) for i in range(len(words) - 7))
+    inside = {i + k for i in range(len(words) - 7) if windows[tuple(words[i:i + 8])] > 1 for k in range(8)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)),
+            len(inside), len(words) < 20 or 100 * len(inside) > 30 * len(words))
+
+
+def quality_rules(rows):
+    """kept of each (id, text), by the rules' own conditions and plain EM."""
+    import math
+    from tallyframe.llm import quality_rules as Q
+    sql = lambda c: c.replace(" = ", " == ")
+    votes, failed = [], []
+    for _, t in rows:
+        n, chars, symbols, dup, rep, base = base_features(t)
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        env = {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": rep,
+               "n_lines": len(lines), "n_ended_lines": sum(1 for x in lines if re.search(Q.LINE_END, x)),
+               "n_capitals": len(re.findall("[A-Z]", t or "")), "n_exclaims": (t or "").count("!"),
+               "n_marks": len(re.findall(Q.MARKS, t or ""))}
+        votes.append([-1 if eval(sql(bad), {}, env) else 1 if eval(sql(good), {}, env) else 0 for _, good, bad in Q.RULES])
+        failed.append(base)
+    k = len(Q.RULES)
+    prior, g, b = Q.PRIOR, [Q.RIGHT_ON_GOOD] * k, [Q.RIGHT_ON_BAD] * k
+    bound = lambda x, r: max(r[0], min(r[1], x))
+
+    def post():
+        out = []
+        for v in votes:
+            s = math.log(prior / (1 - prior))
+            for j, x in enumerate(v):
+                s += math.log(g[j] / (1 - b[j])) if x == 1 else math.log((1 - g[j]) / b[j]) if x == -1 else 0
+            out.append(1 / (1 + math.exp(-s)))
+        return out
+    for _ in range(Q.ROUNDS):
+        p = post()
+        prior = bound((sum(p) + Q.PRIOR) / (len(p) + 1), Q.PRIOR_RANGE)
+        g = [bound((sum(x for x, v in zip(p, votes) if v[j] == 1) + Q.RIGHT_ON_GOOD)
+                   / (sum(x for x, v in zip(p, votes) if v[j]) + 1), Q.GOOD_RANGE) for j in range(k)]
+        b = [bound((sum(1 - x for x, v in zip(p, votes) if v[j] == -1) + Q.RIGHT_ON_BAD)
+                   / (sum(1 - x for x, v in zip(p, votes) if v[j]) + 1), Q.BAD_RANGE) for j in range(k)]
+    return [not f and p >= Q.KEEP_AT for f, p in zip(failed, post())]
+
+
+def mix(rows, weights=(1, 2, 3), most=3, seed="mix-1"):
+    """(size, source size, target, copies) of rows (id, text, source)."""
+    import hashlib
+    sizes = [len(WORD.findall(t or "")) for _, t, _ in rows]
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    total = {s: sum(n for n, r in zip(sizes, rows) if r[2] == s) for s in names}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), float(sum(sizes))
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if unit * weight[s] > most * total[s]}
+        for s in over or open_:
+            target[s] = float(most * total[s]) if over else unit * weight[s]
+        left -= sum(target[s] for s in over)
+        open_ -= over or open_
+    copies = [0] * len(rows)
+    for s in names:
+        mine = [i for i, r in enumerate(rows) if r[2] == s]
+        ask = round(target[s])
+        full, part = divmod(ask, total[s]) if total[s] else (0, 0)
+        draw = lambda i: (hashlib.md5(f"{seed}:{rows[i][0]}".encode()).hexdigest(), rows[i][0], sizes[i])
+        run = 0
+        out = []
+        for i in sorted(mine, key=draw):
+            copies[i] = full if sizes[i] else 0
+            run += sizes[i]
+            if run <= part:
+                copies[i] += 1 if sizes[i] else 0
+                done = run
+            else:
+                out.append(i)
+        done = sum(sizes[i] for i in mine if i not in out)
+        more = [i for i in out if 0 < sizes[i] <= part - done]
+        if more:
+            copies[max(more, key=lambda i: (sizes[i], draw(i)))] += 1
+    return [(n, total[r[2]], target[r[2]], c) for n, r, c in zip(sizes, rows, copies)]
