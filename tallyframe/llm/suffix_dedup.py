@@ -32,7 +32,8 @@ from tallyframe.llm.common import free_shuffles, materialize, prepare
 
 LENGTH = 400
 PRIME = 13
-RUN_BYTES = 16 << 20
+#: A run of documents ends at so many bytes or starts (about 80 bytes each).
+RUN_BYTES, RUN_STARTS = 16 << 20, 2_000_000
 SEGMENT = 1 << 20
 #: Bytes of text for each bucket of samples, and of full suffixes.
 SAMPLE_BUCKET, SUFFIX_BUCKET = 48 << 20, 4 << 20
@@ -106,13 +107,14 @@ def _segments(batches, starts_of) -> Iterator[tuple]:
 
 
 def _runs(segments) -> Iterator[list]:
-    run, size = [], 0
+    run, size, starts = [], 0, 0
     for s in segments:
+        if run and (size + len(s[3]) > RUN_BYTES or starts + len(s[4]) > RUN_STARTS):
+            yield run
+            run, size, starts = [], 0, 0
         run.append(s)
         size += len(s[3])
-        if size >= RUN_BYTES:
-            yield run
-            run, size = [], 0
+        starts += len(s[4])
     if run:
         yield run
 
@@ -130,7 +132,7 @@ def _dealt(batches, starts_of, buckets: int):
         bounds = np.cumsum([0] + [len(s) for *_, s, _ in run])
         begin = np.cumsum([0] + [len(raw) for _, _, _, raw, _, _ in run])[:-1]
         place = np.concatenate([s + b for (*_, s, _), b in zip(run, begin)])
-        owner = np.repeat(np.arange(len(run)), np.diff(bounds))
+        owner = np.repeat(np.arange(len(run), dtype=np.int32), np.diff(bounds))
         keys = np.array([(k1, k2, off) for k1, k2, off, *_ in run], np.int64)
         order = np.argsort(h, kind="stable")
         same = (h[order][1:] == h[order][:-1]) & (g[order][1:] == g[order][:-1])
@@ -259,7 +261,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     live = live.join(others, ["k1", "k2"], "left_anti")
     # texts with a tied sample, those that share one side by side
     whole = src.select("k1", "k2", "raw").join(live, ["k1", "k2"]).hint("rebalance", "low")
-    whole = materialize(whole.select("k1", "k2", "raw", "at"), "tied-texts")
+    whole = materialize(whole.sortWithinPartitions("low").select("k1", "k2", "raw", "at"), "tied-texts")
     free_shuffles(spark)
     left = whole.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     found = materialize(_tied(whole, full, max(12, -(-left // SUFFIX_BUCKET))).select("k1", "k2", F.col("at").alias("hit")),
