@@ -41,6 +41,15 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_string(f.dataType)]
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN is a missing value everywhere in this library; it becomes NULL
+    once, where data come in (a projection; other columns are untouched)."""
+    floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    if not floats:
+        return df
+    return df.select(*[F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`") for c in df.columns])
+
+
 def strip_ws(c: Column) -> Column:
     """``str.strip()`` on a string column."""
     return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")

@@ -121,13 +121,13 @@ def concentration(summary: DataFrame, keys: list[str], value: str, k: int = 15)
 
 
 def trend(summary: DataFrame, value_cols: list[str]) -> DataFrame:
-    """K5: sum per period of the coarsest time part for the first two value
+    """K5: sum per period of the coarsest time part for the given value
     columns; each row carries the change vs the previous period."""
     tparts = [t for t in TIME_PARTS if t in summary.columns]
     if not tparts:
         return summary.sparkSession.createDataFrame([], "metric string, period bigint, value double, pct_change double")
     tc = tparts[0]
-    vals = [v for v in value_cols[:2] if f"{v}_sum" in summary.columns]
+    vals = [v for v in value_cols if f"{v}_sum" in summary.columns]
     arr = F.array(*[F.struct(F.lit(v).alias("metric"), F.col(f"{v}_sum").cast("double").alias("v")) for v in vals])
     long = summary.where(_q(tc).isNotNull()).select(_q(tc).alias("period"), F.explode(arr).alias("kv")) \
                   .select("period", "kv.*")
@@ -137,16 +137,6 @@ def trend(summary: DataFrame, value_cols: list[str]) -> DataFrame:
                              .when(prev.isNotNull(), F.lit(0.0)))
 
 
-def trend_insight(trend_df: DataFrame) -> DataFrame:
-    """K5/R2: last-vs-prior change of the first metric, direction and band."""
-    last = trend_df.groupBy("metric").agg(F.max_by("pct_change", "period").alias("pct_change"),
-                                          F.sum("value").alias("total"), F.count(F.lit(1)).alias("periods"))
-    p = F.col("pct_change")
-    return (last.where(F.col("periods") >= 2)
-                .withColumn("direction", F.when(p > 0, "up").otherwise("down"))
-                .withColumn("band", F.when(p > 5, "positive").when(p < -5, "decline").otherwise("stable")))
-
-
 def top_n(summary: DataFrame, key: str, value: str, n: int = 10) -> DataFrame:
     """K7: the n largest groups (shown ascending) with shares of the shown rows."""
     g = _grouped(summary, key, value)

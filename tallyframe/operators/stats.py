@@ -22,9 +22,9 @@ def _num(c: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def summary_value_columns(df: DataFrame, limit: int = 12) -> list[str]:
+def summary_value_columns(df: DataFrame, limit: int | None = None) -> list[str]:
     """X1 column choice on a summary: numeric columns ending in
-    ``_sum/_mean/_count`` (else all numeric), first ``limit``."""
+    ``_sum/_mean/_count`` (else all numeric), all of them unless limited."""
     nums = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
     useful = [c for c in nums if c.endswith(("_sum", "_mean", "_count"))] or nums
     return useful[:limit]
@@ -74,8 +74,8 @@ def top_predictors(pairs: DataFrame, target: str, k: int = 3) -> DataFrame:
     return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def histogram_columns(df: DataFrame, cols: list[str], limit: int = 6, min_values: int = 5) -> list[str]:
-    """X4 column choice: the first ``limit`` columns with more than
+def histogram_columns(df: DataFrame, cols: list[str], limit: int | None = None, min_values: int = 5) -> list[str]:
+    """X4 column choice: the columns (all unless limited) with more than
     ``min_values`` non-null values (one count aggregate)."""
     row = df.agg(*[F.count(_num(c)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
     return [c for i, c in enumerate(cols) if row[f"c{i}"] > min_values][:limit]

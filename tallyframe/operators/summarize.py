@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tallyframe.functions import fixed
 from tallyframe.functions.columns import (is_numeric, is_string, is_temporal,
-                                          money_sum)
+                                          money_sum, nan_to_null)
 from tallyframe.operators import clean as C
 from tallyframe.operators.profile import exact_distinct_counts
 
@@ -54,15 +54,16 @@ def string_distinct_counts(df: DataFrame, cols: list[str], exact_below: int = 10
 
 
 def choose_time_column(df: DataFrame) -> tuple[str | None, bool]:
-    """First time column that holds timestamps or parseable strings (Q4/Q5).
+    """First time column that holds timestamps, or strings most of which
+    parse (over the whole column), so a few stray dates make none.
 
     Returns (name, needs_parsing)."""
     for c in C.time_column_candidates(df):
         dt = df.schema[c].dataType
         if is_temporal(dt):
             return c, False
-        parsed = df.select(C.parse_timestamp(_q(c)).alias("t")).where(F.col("t").isNotNull()).limit(1).count()
-        if parsed:
+        rate = df.agg(F.avg(F.when(_q(c).isNotNull(), C.parse_timestamp(_q(c)).isNotNull().cast("double")))).first()[0]
+        if rate is not None and rate > fixed.TIME_PARSE_RATE:
             return c, True
     return None, False
 
@@ -160,6 +161,7 @@ def choose_prefix(level_counts: dict, n_keys: int, max_rows: int) -> int:
 def summarize(df: DataFrame, max_rows: int = fixed.MAX_SUMMARY_ROWS, money_scale: int | None = None,
               drop_duplicates: bool = True) -> Summary:
     """Condense any table into at most ``max_rows`` rows."""
+    df = nan_to_null(df)
     original_rows = df.count()
     original_cols = len(df.columns)
     base = C.drop_sparse_columns(df)

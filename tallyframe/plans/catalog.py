@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.functions.columns import round_doubles
+from tallyframe.functions.columns import numeric_columns, round_doubles
 from tallyframe.operators import clean as C
 from tallyframe.operators import decisions as D
 from tallyframe.operators import kpi as K
@@ -42,7 +42,7 @@ def s1_csv_roundtrip(spark, sf_dir):
     tokens and the sample-based type inference."""
     from tallyframe.session import shared_path
     from tallyframe.sources.files import read_csv, write_csv
-    o = TB.load(spark, sf_dir, "orders").drop("o_orderdate")
+    o = TB.load(spark, sf_dir, "orders")
     path = write_csv(o, shared_path(spark, "orders-csv"))
     return _r(read_csv(spark, path))
 
@@ -51,13 +51,54 @@ def s2_read_many(spark, sf_dir):
     """Two CSV inputs with different columns stacked by name."""
     from tallyframe.session import shared_path
     from tallyframe.sources.files import read_csv, read_many, write_csv
-    o = TB.load(spark, sf_dir, "orders").drop("o_orderdate")
+    o = TB.load(spark, sf_dir, "orders")
     first = write_csv(o.where(F.col("o_orderstatus") == "F"), shared_path(spark, "orders-f"))
     rest = write_csv(o.where(F.col("o_orderstatus") != "F").withColumn("note", F.lit("NA")),
                      shared_path(spark, "orders-rest"))
     return _r(read_many([read_csv(spark, first), read_csv(spark, rest)]))
 
 
+def s1_documents_roundtrip(spark, sf_dir):
+    """documents as CSV and back: quotes, commas and line ends in cells."""
+    from tallyframe.session import shared_path
+    from tallyframe.sources.files import read_csv, write_csv
+    docs = TB.load(spark, sf_dir, "documents").withColumn("text", F.concat(F.lit('say "hi", '), F.col("text")))
+    return read_csv(spark, write_csv(docs, shared_path(spark, "documents-csv")), multi_line=True)
+
+
+def s1_late_types(spark, sf_dir):
+    """orders as CSV whose key turns fractional in the last tenth of the
+    rows, and whose last column stops being a number there."""
+    from tallyframe.session import shared_path
+    from tallyframe.sources.files import read_csv, write_csv
+    return read_csv(spark, write_csv(TB.orders_late_types(spark, sf_dir), shared_path(spark, "late-csv")))
+
+
+def p4_missing_nan(spark, sf_dir):
+    """Missing values of a stored lineitem that holds NaN for NULL."""
+    from tallyframe.session import shared_path
+    from tallyframe.sources.files import read_table
+    path = shared_path(spark, "lineitem-nan")
+    TB.lineitem_with_nan(spark, sf_dir).write.parquet(path)
+    return _r(P.missing_report(read_table(spark, path)))
+
+
+def a2_summary_nan(spark, sf_dir):
+    """Summary of orders whose price is NaN in every sixth row."""
+    price = F.when(F.col("o_orderkey") % 6 != 0, F.col("o_totalprice")).otherwise(F.lit(float("nan")))
+    rows = TB.load(spark, sf_dir, "orders").withColumn("o_totalprice", price)
+    return _r(A.summarize(rows, money_scale=MONEY).table)
+
+
+def c7_stray_date(spark, sf_dir):
+    """Summary of orders with a string column of which one value in a
+    hundred is a date: it isn't the time column, and no row is lost."""
+    stray = F.when(F.col("o_orderkey") % 100 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")) \
+        .otherwise(F.concat(F.lit("d"), F.col("o_orderkey")))
+    rows = TB.load(spark, sf_dir, "orders").withColumn("note_date", stray).drop("o_orderdate")
+    return _r(A.summarize(rows, money_scale=MONEY).table)
+
+
 def s6_preview(spark, sf_dir):
     return _r(TB.load(spark, sf_dir, "orders").orderBy("o_orderkey").limit(10))
 
@@ -249,7 +290,7 @@ def k3_top_category_by_year(spark, sf_dir):
 
 def k4_breakdown(spark, sf_dir):
     s, _, cats = _kpi_inputs(spark, sf_dir)
-    return _r(K.breakdown(s.table, cats[:2], s.meta["value_cols"][0], 5))
+    return _r(K.breakdown(s.table, cats, s.meta["value_cols"][0], 5))
 
 
 def k5_trend(spark, sf_dir):
@@ -259,7 +300,7 @@ def k5_trend(spark, sf_dir):
 
 def k6_concentration(spark, sf_dir):
     s, p, cats = _kpi_inputs(spark, sf_dir)
-    return _r(K.concentration(s.table, cats[:3], s.meta["value_cols"][0], 15))
+    return _r(K.concentration(s.table, cats, s.meta["value_cols"][0], 15))
 
 
 def k7_top_n(spark, sf_dir):
@@ -278,7 +319,7 @@ def k8_performance_gap(spark, sf_dir):
 
 def _li_pairs(spark, sf_dir):
     li = TB.load(spark, sf_dir, "lineitem")
-    cols = [f.name for f in li.schema.fields if f.dataType.typeName() in ("long", "integer", "double")][:10]
+    cols = [f.name for f in li.schema.fields if f.dataType.typeName() in ("long", "integer", "double")]
     return X.correlation_pairs(li, cols)
 
 
@@ -305,13 +346,13 @@ def x3_top_predictors(spark, sf_dir):
 
 def x4_histograms(spark, sf_dir):
     li = TB.load(spark, sf_dir, "lineitem")
-    cols = X.histogram_columns(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    cols = X.histogram_columns(li, numeric_columns(li))
     return _r(X.histograms(li, cols, 25))
 
 
 def x5_skewness(spark, sf_dir):
     li = TB.load(spark, sf_dir, "lineitem")
-    return _r(X.skewness(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]))
+    return _r(X.skewness(li, numeric_columns(li)))
 
 
 # ---------------------------------------------------------------------------
@@ -524,6 +565,8 @@ def s4_report_plain(spark, sf_dir):
 
 QUERIES = {
     "s1_csv_roundtrip": s1_csv_roundtrip,
+    "s1_documents_roundtrip": s1_documents_roundtrip,
+    "s1_late_types": s1_late_types,
     "s2_read_many": s2_read_many,
     "s6_preview": s6_preview,
     "s7_fingerprint": s7_fingerprint,
@@ -532,6 +575,7 @@ QUERIES = {
     "p2_column_summary": p2_column_summary,
     "p3_describe": p3_describe,
     "p4_missing": p4_missing,
+    "p4_missing_nan": p4_missing_nan,
     "p5_duplicates": p5_duplicates,
     "p6_overview": p6_overview,
     "p7_worst_missing": p7_worst_missing,
@@ -548,6 +592,8 @@ QUERIES = {
     "c8_time_parts": c8_time_parts,
     "a1_group_keys": a1_group_keys,
     "a2_summary_orders": a2_summary_orders,
+    "a2_summary_nan": a2_summary_nan,
+    "c7_stray_date": c7_stray_date,
     "a3_global_aggregate": a3_global_aggregate,
     "a4_prefix_levels": a4_prefix_levels,
     "a4_summary_lineitem_100": a4_summary_lineitem_100,

@@ -352,7 +352,9 @@ SELECT key, name, round(value, 4) AS value, CAST(rank AS INTEGER) AS rank,
 K5 = f"""WITH {ORDERS_SUMMARY_CTE},
 l AS (SELECT 'o_orderkey' AS metric, _year AS period, CAST(ok_sum AS DOUBLE) AS v FROM s WHERE _year IS NOT NULL
       UNION ALL SELECT 'o_custkey', _year, CAST(ck_sum AS DOUBLE) FROM s WHERE _year IS NOT NULL),
-g AS (SELECT metric, period, sum(v) AS value FROM l GROUP BY ALL),
+t AS (SELECT 'o_totalprice' AS metric, _year AS period, CAST(sum(tp_sum_d) AS DOUBLE) AS value FROM s
+      WHERE _year IS NOT NULL GROUP BY ALL),
+g AS (SELECT metric, period, sum(v) AS value FROM l GROUP BY ALL UNION ALL SELECT * FROM t),
 p AS (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY period) AS prev FROM g)
 SELECT metric, period, round(value, 4) AS value,
   round(CASE WHEN prev <> 0 THEN (value - prev) / prev * 100 WHEN prev IS NOT NULL THEN 0.0 END, 4) AS pct_change FROM p"""
@@ -426,7 +428,7 @@ t AS (SELECT CASE WHEN c1 = 'l_extendedprice' THEN c2 ELSE c1 END AS "column",
 k AS (SELECT *, row_number() OVER (ORDER BY abs(r) DESC NULLS LAST, position) AS rank FROM t)
 SELECT "column", position, round(r, 4) AS r, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3"""
 
-_HIST = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_HIST = LINEITEM_NUM
 X4 = f"""WITH l AS ({_union([f"SELECT '{c}' AS col, CAST({c} AS DOUBLE) AS x FROM lineitem WHERE {c} IS NOT NULL" for c in _HIST])}),
 g AS (SELECT col, min(x) AS mn, max(x) AS mx FROM l GROUP BY col),
 b AS (SELECT l.col, mn, mx, CASE WHEN mx - mn > 0 THEN least(CAST(floor((x - mn) / (mx - mn) * 25) AS INTEGER) + 1, 25)
@@ -437,7 +439,7 @@ SELECT col AS "column", bin, round(mn + (mx - mn) / 25 * (bin - 1), 4) AS lo, ro
 
 X5 = _union([f"""SELECT '{c}' AS "column", {i} AS position, round(skewness(CAST({c} AS DOUBLE)), 4) AS skew,
   abs(skewness(CAST({c} AS DOUBLE))) > 1.5 AS skewed FROM lineitem"""
-             for i, c in enumerate(["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"])])
+             for i, c in enumerate(LINEITEM_NUM)])
 
 S6 = """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, o_orderdate, o_orderpriority
 FROM orders ORDER BY o_orderkey LIMIT 10"""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallyframe.plans.oracle import ORDERS_COPIES, ORDERS_SUMMARY_CTE
+from tallyframe.plans.oracle import (LINEITEM_COLS, ORDERS_COPIES, ORDERS_KEYS, ORDERS_NOTNULL, ORDERS_SUMMARY_CTE,
+                                     _agg_cols, _missing_rows)
 from tallyframe.plans.oracle import _union as union
 
 # ---------------------------------------------------------------------------
@@ -274,9 +275,31 @@ RAW.update({
 # sources
 # ---------------------------------------------------------------------------
 
-S1 = """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, o_orderpriority
+S1 = """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, o_orderdate, o_orderpriority
 FROM orders"""
-S2 = """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, o_orderpriority,
+S2 = """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 4) AS o_totalprice, o_orderdate, o_orderpriority,
   CAST(NULL AS VARCHAR) AS note FROM orders"""
 
-RAW.update({"s1_csv_roundtrip": S1, "s2_read_many": S2})
+S1_DOCUMENTS = "SELECT doc_id, 'say \"hi\", ' || text AS text, lang, source, n_chars FROM documents"
+S1_LATE = """WITH m AS (SELECT max(o_orderkey) AS top FROM orders)
+SELECT CASE WHEN o_orderkey * 10 > 9 * top THEN o_orderkey + 0.5::DOUBLE ELSE CAST(o_orderkey AS DOUBLE) END AS measure,
+  CASE WHEN o_orderkey * 10 > 9 * top THEN 'late' ELSE CAST(o_orderkey % 7 AS VARCHAR) END AS code,
+  CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS day, o_orderkey % 2 = 0 AS even FROM orders, m"""
+
+# NaN counts as missing: the same numbers as with NULL in its place
+LINEITEM_NAN = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
+  CASE WHEN l_orderkey % 7 <> 0 THEN l_discount END AS l_discount,
+  CASE WHEN l_orderkey % 10 = 0 THEN l_tax END AS l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem)"""
+P4_NAN = f"""WITH m AS ({_missing_rows(LINEITEM_NAN, LINEITEM_COLS)})
+SELECT col AS "column", position, round(missing_pct, 4) AS missing_pct,
+  CASE WHEN missing_pct > 30 THEN 'critical' WHEN missing_pct > 10 THEN 'moderate' ELSE 'minor' END AS band
+FROM m WHERE missing_pct > 0"""
+A2_NAN = f"""SELECT {ORDERS_KEYS},
+  {_agg_cols(['o_orderkey', 'o_custkey'], ['o_totalprice'])}
+FROM (SELECT DISTINCT * REPLACE (CASE WHEN o_orderkey % 6 <> 0 THEN o_totalprice END AS o_totalprice) FROM orders) t
+WHERE {ORDERS_NOTNULL} GROUP BY ALL"""
+C7_STRAY = f"""SELECT o_orderstatus, o_orderpriority, {_agg_cols(['o_orderkey', 'o_custkey'], ['o_totalprice'])}
+FROM (SELECT DISTINCT * FROM orders) t WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY ALL"""
+
+RAW.update({"s1_csv_roundtrip": S1, "s2_read_many": S2, "s1_documents_roundtrip": S1_DOCUMENTS, "s1_late_types": S1_LATE,
+            "p4_missing_nan": P4_NAN, "a2_summary_nan": A2_NAN, "c7_stray_date": C7_STRAY})

@@ -37,6 +37,27 @@ def orders_with_copies(spark, sf_dir) -> DataFrame:
     return o.unionAll(o)
 
 
+def orders_late_types(spark, sf_dir) -> DataFrame:
+    """orders as strings, sorted by key: in the last tenth the key becomes
+    fractional and the status code a word."""
+    o = load(spark, sf_dir, "orders")
+    top = o.agg(F.max("o_orderkey")).first()[0] or 0
+    k, late = F.col("o_orderkey"), F.col("o_orderkey") * 10 > 9 * top
+    return (o.orderBy("o_orderkey")
+            .select(F.when(late, F.concat(k.cast("string"), F.lit(".5"))).otherwise(k.cast("string")).alias("measure"),
+                    F.when(late, F.lit("late")).otherwise((k % 7).cast("string")).alias("code"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+                    F.when(k % 2 == 0, F.lit("TRUE")).otherwise(F.lit("false")).alias("even")))
+
+
+def lineitem_with_nan(spark, sf_dir) -> DataFrame:
+    """lineitem with NaN: discount every 7th order, tax but every 10th."""
+    li = load(spark, sf_dir, "lineitem")
+    nan = F.lit(float("nan"))
+    return (li.withColumn("l_discount", F.when(F.col("l_orderkey") % 7 == 0, nan).otherwise(F.col("l_discount")))
+              .withColumn("l_tax", F.when(F.col("l_orderkey") % 10 == 0, F.col("l_tax")).otherwise(nan)))
+
+
 def orders_padded(spark, sf_dir) -> DataFrame:
     """orders with padded status strings and 'None'/'nan'/'' literals."""
     o = load(spark, sf_dir, "orders")

@@ -8,49 +8,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fixed
+from tallyframe.functions.columns import nan_to_null
 
-_INFER_ORDER = ["bigint", "double", "boolean"]
+#: Types in the order they are tried; the last resort is string.
+_INFER_ORDER = ["bigint", "double", "boolean", "timestamp_ntz"]
+_ISO = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
 
 
 def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def infer_types(raw: DataFrame, sample_rows: int = 5000) -> dict:
-    """Narrowest of bigint/double/boolean that every non-null value of the
-    first ``sample_rows`` rows casts to, else string (one small aggregate)."""
-    sample = raw.limit(sample_rows)
+def _as_type(c: Column, t: str) -> Column:
+    """The value as a type, NULL where it isn't one."""
+    if t == "boolean":   # only true/false literals, not Spark's wider set (t, f, y, n, 1, 0)
+        return F.when(F.lower(F.trim(c)).isin("true", "false"), c.try_cast("boolean"))
+    if t == "timestamp_ntz":
+        return F.when(c.rlike(_ISO), c.try_cast(t))
+    return c.try_cast(t)
+
+
+def infer_types(raw: DataFrame) -> dict:
+    """For each column the first of bigint, double, boolean and timestamp
+    that all of its non-null values are, else string: one aggregate over the
+    whole input, so no later value can be lost."""
     aggs = []
     for i, c in enumerate(raw.columns):
         aggs.append(F.count(_q(c)).alias(f"n{i}"))
-        for t in _INFER_ORDER:
-            if t == "boolean":   # only true/false literals, not Spark's wider set (t, f, y, n, 1, 0)
-                ok = F.when(F.lower(F.trim(_q(c))).isin("true", "false"), F.lit(1))
-            else:
-                ok = F.expr(f"try_cast(`{c}` AS {t})")
-            aggs.append(F.count(ok).alias(f"{t}{i}"))
-    row = sample.agg(*aggs).first()
-    out = {}
-    for i, c in enumerate(raw.columns):
-        n = row[f"n{i}"]
-        out[c] = next((t for t in _INFER_ORDER if n > 0 and row[f"{t}{i}"] == n), "string")
-    return out
+        aggs += [F.count(_as_type(_q(c), t)).alias(f"{t}{i}") for t in _INFER_ORDER]
+    row = raw.agg(*aggs).first()
+    return {c: next((t for t in _INFER_ORDER if row[f"n{i}"] and row[f"{t}{i}"] == row[f"n{i}"]), "string")
+            for i, c in enumerate(raw.columns)}
 
 
-def read_csv(spark: SparkSession, path, null_tokens=tuple(fixed.CSV_NULL_TOKENS), sample_rows: int = 5000,
-             encoding: str = "UTF-8", types: dict | None = None) -> DataFrame:
-    """Header CSV, null tokens -> NULL, types inferred from the first rows;
-    values that do not fit the inferred type become NULL.
+def read_csv(spark: SparkSession, path, null_tokens=tuple(fixed.CSV_NULL_TOKENS), encoding: str = "UTF-8",
+             types: dict | None = None, multi_line: bool = False) -> DataFrame:
+    """Header CSV with quotes doubled inside quoted cells, null tokens
+    -> NULL, types from all values.  With ``types`` given nothing is read
+    ahead and values that don't fit become NULL.
 
-    Files are split across tasks by the reader (S2's chunks are file splits).
-    """
+    Files are split across tasks by the reader (S2's chunks are file
+    splits); ``multi_line`` is for cells that hold line ends and reads each
+    file in one task."""
     raw = (spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
-           .option("encoding", encoding).csv(path))
-    raw = raw.select(*[F.when(_q(c).isin(*null_tokens), F.lit(None).cast("string")).otherwise(_q(c)).alias(c)
-                       for c in raw.columns])
-    types = types or infer_types(raw, sample_rows)
-    return raw.select(*[(F.expr(f"try_cast(`{c}` AS {types[c]})") if types[c] != "string" else _q(c)).alias(c)
-                        for c in raw.columns])
+           .option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    raw = raw.select(*[F.when(~_q(c).isin(*null_tokens), _q(c)).alias(c) for c in raw.columns])
+    types = types or infer_types(raw)
+    typed = raw.select(*[_as_type(_q(c), types[c]).alias(c) if types[c] != "string" else _q(c) for c in raw.columns])
+    return nan_to_null(typed)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -66,7 +72,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     width = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < width:
         df = df.repartition(width)
-    return df
+    return nan_to_null(df)
 
 
 def read_many(frames: list[DataFrame]) -> DataFrame:
@@ -78,8 +84,10 @@ def read_many(frames: list[DataFrame]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """S3: CSV with a header, one file per task."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    """S3: CSV with a header, one file per task; quotes are doubled."""
+    (df.write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+       .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").option("emptyValue", "").csv(path))
     return path
 
 
@@ -89,12 +97,16 @@ def plain_text(line: Column) -> Column:
 
 
 def write_report(lines: DataFrame, path: str, plain: bool = False) -> str:
-    """Report lines (report_id, ord, line) as text files, one per report.
+    """Report lines as text files, one folder per report.
 
-    The report is a few hundred lines per report id; it is written by
-    ``partitionBy(report_id)`` so many reports go out in one job."""
+    ``lines`` has ``line`` and its place (section, ord, sub; each may be
+    missing), and ``report_id`` if it holds several reports.  A report is a
+    few hundred lines; ``partitionBy`` writes many of them in one job."""
     col = plain_text(F.col("line")) if plain else F.col("line")
-    (lines.repartition("report_id").sortWithinPartitions("report_id", "ord")
+    if "report_id" not in lines.columns:
+        lines = lines.withColumn("report_id", F.lit("report"))
+    place = [c for c in ("section", "ord", "sub") if c in lines.columns]
+    (lines.repartition("report_id").sortWithinPartitions("report_id", *place)
           .select("report_id", col.alias("value"))
           .write.mode("errorifexists").partitionBy("report_id").text(path))
     return path
@@ -130,11 +142,6 @@ def load_model(path: str):
     return PipelineModel.load(path)
 
 
-def preview(df: DataFrame, order_by: list[str], n: int = 10) -> DataFrame:
-    """First ``n`` rows in an explicit order (TakeOrderedAndProject)."""
-    return df.orderBy(*order_by).limit(n)
-
-
 def fingerprint(df: DataFrame) -> DataFrame:
     """First 8 hex digits of md5 of ``(rows, cols)|c1|c2...`` - one count."""
     tail = f", {len(df.columns)})|" + "|".join(df.columns)
