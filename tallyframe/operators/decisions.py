@@ -158,7 +158,7 @@ def _rules(module_low_accuracy: bool = False):
          _cat("Duplicate Records: ", _n0(dup), " rows (", _f1(c("duplicate_pct")), "%)"),
          _cat("Sums and counts include ", _n0(dup), " repeated rows. Find the step that writes them twice."), None),
         ("optimization", "D2", dup == 0, None, None, F.lit("Dataset Integrity Confirmed"),
-         F.lit("Every row occurs once."), F.lit("Counts can be used as they are.")),
+         F.lit("Every row occurs once."), F.lit("Baseline quality maintained.")),
         ("risk", "D3", g < -10, F.lit("Critical"), None,
          _cat("Significant Decline: ", _sf1(g), "% YoY in `", pc, "`"),
          _cat(ly, " brought ", _n0(lv), " of `", pc, "` after ", _n0(pv), " in ", py, ", ", _f1(F.abs(g)), "% less. Look "
@@ -184,7 +184,7 @@ def _rules(module_low_accuracy: bool = False):
          _cat("The last three, ", bottom_list, ", average ", _n0(c("bottom3_mean")), " where the first has ",
               _n0(c("top_value")), ", a gap of ", _n0(c("gap_pct")), "%. One tenth more from them would add ",
               _n0(c("lift_value")), " ", c("gap_value_col"), "."),
-         _cat(_n0(c("lift_value")), " more ", c("gap_value_col"), ", ", _f1(c("lift_share")), "% of the total")),
+         _cat("~", _n0(c("lift_value")), " incremental ", c("gap_value_col"), " (+", _f1(c("lift_share")), "%)")),
         ("risk", "D6", best.isNotNull() & (gap > 15), F.lit("Medium"), None,
          _cat("Model Overfitting — ", best, " (gap ", _f1(gap), "%)"),
          _cat("On rows it has not seen, the model loses ", _f1(gap), " points. Restrain it, or train on more varied rows."), None),

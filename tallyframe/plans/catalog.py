@@ -379,6 +379,12 @@ def d_decisions_by_status(spark, sf_dir):
     return D.decide(_decision_inputs(spark, sf_dir, by), by).select(*by, *DECISION_COLS)
 
 
+def d_rules_by_supplier(spark, sf_dir):
+    """Every branch of every rule, on KPI rows of suppliers."""
+    rules = D.decide(TB.supplier_kpis(spark, sf_dir), ["l_suppkey"], module_low_accuracy=True)
+    return rules.select("l_suppkey", *DECISION_COLS)
+
+
 def d11_decision_counts(spark, sf_dir):
     by = ["o_orderstatus"]
     return D.decision_counts(D.decide(_decision_inputs(spark, sf_dir, by), by), by)
@@ -433,6 +439,16 @@ def _flat_facts(df: DataFrame, text_col: str, ids: list[str]) -> DataFrame:
     return f.select(*cols)
 
 
+def t5_suggested(spark, sf_dir):
+    """Intents of the suggested questions, one for each turn."""
+    return T.route_intents(TB.asked_turns(spark, sf_dir), "text", ["conv_id", "turn"])
+
+
+def t6_facts_orders(spark, sf_dir):
+    """Facts read back from fact lines written for every order."""
+    return _flat_facts(TB.order_fact_lines(spark, sf_dir), "text", ["o_orderkey"])
+
+
 def t6_facts_documents(spark, sf_dir):
     return _flat_facts(TB.load(spark, sf_dir, "documents"), "text", ["doc_id"])
 
@@ -484,7 +500,7 @@ def m11_classification_metrics(spark, sf_dir):
 
 def m12_best_model(spark, sf_dir):
     met = M.regression_metrics(_fitted_lines(spark, sf_dir), by=["model", "model_order"])
-    return _r(met.orderBy(F.col("r2_pct").desc(), "model_order").limit(1))
+    return _r(M.best_model(met.withColumn("primary_score", F.col("r2_pct"))).drop("primary_score"))
 
 
 def _orders_training(spark, sf_dir, cv=True):
@@ -620,12 +636,15 @@ QUERIES = {
     "x5_skewness": x5_skewness,
     "d_decisions": d_decisions,
     "d_decisions_by_status": d_decisions_by_status,
+    "d_rules_by_supplier": d_rules_by_supplier,
     "d11_decision_counts": d11_decision_counts,
     "t1_chunks": t1_chunks,
     "t3_cosine_topk": t3_cosine_topk,
     "t4_keyword_topk": t4_keyword_topk,
     "t5_intents": t5_intents,
+    "t5_suggested": t5_suggested,
     "t6_facts_documents": t6_facts_documents,
+    "t6_facts_orders": t6_facts_orders,
     "m1_task_detection": m1_task_detection,
     "m3_label_encoding": m3_label_encoding,
     "m4_prepare_impute": m4_prepare_impute,

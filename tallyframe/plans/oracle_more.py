@@ -26,15 +26,10 @@ def _n0(x):
 _ORDERS_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
-def decisions_sql(by=None):
-    cat = "o_orderpriority" if by else "o_orderstatus"
-    sel = f"{by}, " if by else ""
-    grp = f"GROUP BY {by}" if by else ""
-    part = f"PARTITION BY {by}" if by else ""
-    on = f"USING ({by})" if by else "ON TRUE"
-    miss = union([f"SELECT {sel}'{c}' AS col, {i} AS position, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100 "
-                  f"AS pct FROM c {grp}" for i, c in enumerate(_ORDERS_COLS)])
-    rules = [
+def rules_sql(cat, value, lift, share):
+    """(kind, rule, order, condition, level, type, title, impact) over a row
+    of figures; ``lift`` and ``share`` are expressions for D5."""
+    return [
         ("risk", "D1", 0, "worst_missing_pct > 20", "CASE WHEN worst_missing_pct > 30 THEN 'High' ELSE 'Medium' END",
          "NULL", f"'Data Gap in `' || worst_missing_col || '` (' || {_f1('worst_missing_pct')} || '% missing)'", "NULL"),
         ("risk", "D2", 1, "duplicates > 0", "CASE WHEN duplicate_pct > 5 THEN 'High' ELSE 'Medium' END", "NULL",
@@ -56,13 +51,51 @@ def decisions_sql(by=None):
          f"'Leverage `' || top_name || '` — Top Segment at ' || {_f1('share')} || '%'", "NULL"),
         ("optimization", "D5", 9, "bottom3 IS NOT NULL", "NULL", "NULL",
          f"'Close Performance Gap in Bottom {cat} Segments'",
-         f"'~' || {_n0('b3 * 0.1')} || ' incremental o_orderkey (+' || {_f1('b3 * 0.1 / gtotal * 100')} || '%)'"),
-        ("risk", "D10", 13, "n_rows < 1000", "'Medium'", "NULL", f"'Small Dataset (' || {_n0('n_rows')} || ' rows)'",
+         f"'~' || {_n0(lift)} || ' incremental {value} (+' || {_f1(share)} || '%)'"),
+        ("risk", "D10", None, "n_rows < 1000", "'Medium'", "NULL", f"'Small Dataset (' || {_n0('n_rows')} || ' rows)'",
          "NULL"),
     ]
-    body = union([f"SELECT {sel}'{k}' AS kind, '{rid}' AS rule_id, {o} AS ord, CAST({lvl} AS VARCHAR) AS level, "
-                  f"CAST({typ} AS VARCHAR) AS type, {title} AS title, CAST({imp} AS VARCHAR) AS expected_impact "
-                  f"FROM k WHERE {cond}" for k, rid, o, cond, lvl, typ, title, imp in rules])
+
+
+MODEL_RULES = [
+    ("risk", "D6", 10, "best IS NOT NULL AND gap > 15", "'Medium'", "NULL",
+     f"'Model Overfitting — ' || best || ' (gap ' || {_f1('gap')} || '%)'", "NULL"),
+    ("recommendation", "D7", 11, "best IS NOT NULL AND feature IS NOT NULL", "'High'", "'Model-Driven'",
+     f"'Prioritize `' || feature || '` — ' || {_f1('feature_share')} || '% of Prediction Power'", "NULL"),
+    ("recommendation", "D9", 12, "best IS NOT NULL AND task = 'classification' AND score < 70", "'Medium'",
+     "'Model Improvement'", "'Improve Model Accuracy with More Features'", "NULL"),
+    ("recommendation", "D8", 13, "best IS NOT NULL AND score >= 80", "'High'", "'Deployment Ready'",
+     f"'Deploy ' || best || ' — ' || {_f1('score')} || '% Validated'", "NULL"),
+]
+
+
+def _fired(rules, sel, last):
+    return union([f"SELECT {sel}'{k}' AS kind, '{rid}' AS rule_id, {last if o is None else o} AS ord, "
+                  f"CAST({lvl} AS VARCHAR) AS level, CAST({typ} AS VARCHAR) AS type, {title} AS title, "
+                  f"CAST({imp} AS VARCHAR) AS expected_impact FROM k WHERE {cond}"
+                  for k, rid, o, cond, lvl, typ, title, imp in rules])
+
+
+D_SUPPLIER = f"""WITH n AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1),
+k AS (SELECT l_suppkey, n * 3 AS n_rows, 'l_tax' AS worst_missing_col, CAST(l_suppkey * 7 % 45 AS DOUBLE) AS worst_missing_pct,
+  l_suppkey % 3 * n AS duplicates, CAST(l_suppkey * 5 % 11 AS DOUBLE) AS duplicate_pct, 'sales' AS primary_col,
+  CAST(l_suppkey * 11 % 71 - 35 AS DOUBLE) AS g, 'R' || l_suppkey AS top_name, CAST(l_suppkey * 13 % 100 AS DOUBLE) AS share,
+  CASE WHEN l_suppkey % 2 = 0 THEN 'B' END AS bottom3, CASE WHEN l_suppkey % 5 <> 0 THEN 'Random Forest' END AS best,
+  CAST(l_suppkey * 17 % 100 AS DOUBLE) AS score, CASE WHEN l_suppkey % 4 < 2 THEN 'classification' ELSE 'regression' END AS task,
+  CASE WHEN l_suppkey % 7 <> 0 THEN 'l_quantity' END AS feature, CAST(l_suppkey % 60 AS DOUBLE) AS feature_share,
+  CAST(l_suppkey % 31 AS DOUBLE) AS gap, n FROM n)
+{_fired(rules_sql("l_returnflag", "l_tax", "n * 4", "l_suppkey % 10") + MODEL_RULES, "l_suppkey, ", 14)}"""
+
+
+def decisions_sql(by=None):
+    cat = "o_orderpriority" if by else "o_orderstatus"
+    sel = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    part = f"PARTITION BY {by}" if by else ""
+    on = f"USING ({by})" if by else "ON TRUE"
+    miss = union([f"SELECT {sel}'{c}' AS col, {i} AS position, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100 "
+                  f"AS pct FROM c {grp}" for i, c in enumerate(_ORDERS_COLS)])
+    body = _fired(rules_sql(cat, "o_orderkey", "b3 * 0.1", "b3 * 0.1 / gtotal * 100"), sel, 13)
     return f"""WITH {ORDERS_SUMMARY_CTE},
 c AS {ORDERS_COPIES},
 q AS (SELECT {sel}count(*) AS n_rows FROM c {grp}),
@@ -100,6 +133,7 @@ SELECT o_orderstatus, count(CASE WHEN kind = 'recommendation' THEN 1 END) AS rec
 RAW = {
     "d_decisions": D_DECISIONS,
     "d_decisions_by_status": D_DECISIONS_BY,
+    "d_rules_by_supplier": D_SUPPLIER,
     "d11_decision_counts": D11,
 }
 
@@ -184,12 +218,29 @@ def _facts_sql(src, text, ids):
 
 T6 = _facts_sql("documents", "text", ["doc_id"])
 
+
+def _fact_lines():
+    import re
+    from tallyframe.plans.tables import FACT_LINES
+    value = {"k": "CAST(o_orderkey AS VARCHAR)", "c": "CAST(o_custkey AS VARCHAR)",
+             "p": "CAST(o_orderkey % 90 + 10 AS VARCHAR) || '.5'", "s": "o_orderstatus", "r": "o_orderpriority"}
+    parts = re.split(r"\{(\w)\}", FACT_LINES)
+    return " || ".join(value[x] if i % 2 else _sql_str(x) for i, x in enumerate(parts))
+
+
+T6_ORDERS = _facts_sql(f"(SELECT o_orderkey, {_fact_lines()} AS text FROM orders)", "text", ["o_orderkey"])
+_ASKED = "[" + ", ".join(_sql_str(q) for q in fixed.SUGGESTED_QUESTIONS) + "]"
+T5_SUGGESTED = (f"SELECT conv_id, turn, {_intent_case('text')} AS intent FROM (SELECT conv_id, turn, "
+                f"{_ASKED}[(conv_id + turn) % {len(fixed.SUGGESTED_QUESTIONS)} + 1] AS text FROM conversations)")
+
 RAW.update({
     "t1_chunks": T1,
     "t3_cosine_topk": T3,
     "t4_keyword_topk": T4,
     "t5_intents": T5,
+    "t5_suggested": T5_SUGGESTED,
     "t6_facts_documents": T6,
+    "t6_facts_orders": T6_ORDERS,
 })
 
 # ---------------------------------------------------------------------------

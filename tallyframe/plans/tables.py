@@ -58,6 +58,64 @@ def lineitem_with_nan(spark, sf_dir) -> DataFrame:
               .withColumn("l_tax", F.when(F.col("l_orderkey") % 10 == 0, F.col("l_tax")).otherwise(nan)))
 
 
+def asked_turns(spark, sf_dir) -> DataFrame:
+    """conversations with a suggested question in place of each text."""
+    from tallyframe.functions import fixed
+    asked = F.array(*[F.lit(q) for q in fixed.SUGGESTED_QUESTIONS])
+    n = (F.col("conv_id") + F.col("turn")) % len(fixed.SUGGESTED_QUESTIONS) + 1
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.element_at(asked, n.cast("int")).alias("text"))
+
+
+#: Fact lines of an order: texts, and in braces k (order), c (customer), p (a
+#: share), s (status), r (priority).
+FACT_LINES = """Original dataset: {k} rows × {c} columns.
+After aggregation: {c} summary rows (reduction: {p}%).
+Best model: Model {s}. Task: regression.
+Model 'm': Accuracy (%)={p}, F1-Score (%)={p}, R² (%)={p}, Overfit Gap=-{p}
+Top 3 predictive features: {r}, two, three
+Year-over-year performance: -{p}% change in '{s}' from 2020 to 2021.
+Top segment: '{r}' in 'o_orderpriority' = {p}% of total sales.
+{k} duplicate rows.
+  'feature {c}': 0.5000 ({p}%)
+Underperforming segments: {r} and {s}
+Column '{s}' has {p}% missing values.
+  [High] Order {k}: the body of this line has more than forty characters for {r}
+'first {c}' and 'second' have correlation -0.{k}
+"""
+
+
+def order_fact_lines(spark, sf_dir) -> DataFrame:
+    import re
+    value = {"k": F.col("o_orderkey").cast("string"), "c": F.col("o_custkey").cast("string"),
+             "p": F.concat((F.col("o_orderkey") % 90 + 10).cast("string"), F.lit(".5")),
+             "s": F.col("o_orderstatus"), "r": F.col("o_orderpriority")}
+    parts = re.split(r"\{(\w)\}", FACT_LINES)
+    text = F.concat(*[value[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+    return load(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+
+
+def supplier_kpis(spark, sf_dir) -> DataFrame:
+    """One KPI row for each supplier in lineitem; its key spreads the figures
+    over all branches of the rules."""
+    g, n = F.col("l_suppkey"), F.col("n")
+    rows = load(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    d = lambda c: c.cast("double")
+    return rows.select(
+        "l_suppkey", (n * 3).alias("n_rows"), F.lit("l_tax").alias("worst_missing_col"), d(g * 7 % 45).alias("worst_missing_pct"),
+        (g % 3 * n).alias("duplicates"), d(g * 5 % 11).alias("duplicate_pct"), F.lit("sales").alias("primary_col"),
+        F.lit(2001).cast("bigint").alias("latest_year"), F.lit(2000).cast("bigint").alias("previous_year"),
+        d(n + 100).alias("latest_year_val"), d(n + 50).alias("prev_year_val"), d(g * 11 % 71 - 35).alias("yoy_growth_pct"),
+        F.lit("region").alias("top_category_col"), F.concat(F.lit("R"), g).alias("top_category_name"),
+        d(g * 13 % 100).alias("top_category_share"), d(n).alias("top_category_value"),
+        F.when(g % 2 == 0, F.concat(F.lit("B"), g)).alias("bottom3"), F.lit("l_returnflag").alias("gap_key"),
+        F.lit("l_tax").alias("gap_value_col"), d(n).alias("bottom3_mean"), d(n * 2).alias("top_value"), d(g % 90).alias("gap_pct"),
+        d(n * 4).alias("lift_value"), d(g % 10).alias("lift_share"),
+        F.when(g % 5 != 0, F.lit("Random Forest")).alias("best_model"), d(g * 17 % 100).alias("best_score"),
+        F.when(g % 4 < 2, "classification").otherwise("regression").alias("task"),
+        F.when(g % 7 != 0, F.lit("l_quantity")).alias("top_feature"), d(g % 60).alias("top_feature_share"),
+        d(g % 31).alias("overfit_gap"))
+
+
 def orders_padded(spark, sf_dir) -> DataFrame:
     """orders with padded status strings and 'None'/'nan'/'' literals."""
     o = load(spark, sf_dir, "orders")
