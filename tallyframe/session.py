@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "tallyframe", extra: dict | None = None) -> SparkSession:
     """Session with the settings the library assumes (UTC, AQE, no UI)."""
     b = SparkSession.builder.appName(app)
@@ -19,13 +19,14 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     conf = {
         "spark.ui.enabled": "false",
         "spark.sql.session.timeZone": "UTC",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "16g",
     }
+    if shuffle_partitions:   # small local inputs only; a cluster sets its own
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

@@ -74,7 +74,7 @@ def compare(spark_rows, spark_cols, duck_rows, duck_cols, tol=0.0):
 def run(sf_dir, names=None, spark=None, verbose=True):
     from __spark_entry__ import oracle_sql, queries
     from tallyframe.session import build_session
-    spark = spark or build_session("local[8]")
+    spark = spark or build_session("local[8]", shuffle_partitions=8)
     qs, sqls = queries(), oracle_sql()
     con = duck(sf_dir)
     results = {}
