@@ -4,10 +4,11 @@ Lines are sets of character shingles.  Each gets a signature of ``BINS``
 minima (one hash per shingle, dealt to bins; empty bins borrow from others)
 and one key per band of ``ROWS`` minima.  Lines that share a band key are
 compared through pivots: every member with the group's most frequent line,
-then, where a group still holds several components, every pair of members
-of different components.  Jaccard similarity is exact, on the lines
-themselves.  So no pair of a group is skipped unless its lines are already
-connected, and a crowd around one line costs a comparison per member.
+then, where a group still holds several components, members of different
+components, in blocks of ``BLOCK`` lines that return a spanning forest and
+never their pairs.  Jaccard similarity is exact, on the lines themselves.
+So no pair of a group is skipped unless its lines are already connected, and
+a crowd around one line costs a comparison per member.
 
 Of all places of a component's lines, the first stays: the smallest id
 (null last), then the smallest line number.  Two passes read the documents:
@@ -34,6 +35,7 @@ BANDS = BINS // ROWS
 SIMILAR = 0.8
 RUN_CHARS = 4 << 20
 BUCKET_BYTES = 16 << 20
+BLOCK, COLUMNS = 256, 1 << 14
 #: Bits of the bitmap that picks lines whose text is needed (4 MB).
 BITMAP = 1 << 25
 _FULL = np.uint64(2**64 - 1)
@@ -203,6 +205,72 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def _shared(sets: list[set]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    number: dict[str, int] = {}
+    rows = [[number.setdefault(x, len(number)) for x in s] for s in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(r) for r in rows])
+    item = np.concatenate([np.asarray(r, np.int64) for r in rows])
+    common = np.bincount(item) > 1
+    place = np.cumsum(common) - 1
+    owner, item = owner[common[item]], place[item[common[item]]]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, int(common.sum()), COLUMNS):
+        part = (item >= at) & (item < at + COLUMNS)
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[part], item[part] - at] = 1
+        both += held @ held.T
+    return both
+
+
+def _across(torn: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect similar lines of different roots within
+    groups: ``torn`` has (g, key, root)."""
+    parts = torn.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    rows = (torn.join(parts, "g").join(texts.select("key", "line"), "key").withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "root", "line"))
+
+    def block(rows: list) -> list[tuple[bytes, bytes]]:
+        keys, roots, lines = zip(*rows)
+        if len(set(roots)) < 2:
+            return []
+        sets = [shingles(x) for x in lines]
+        size = np.array([len(s) for s in sets], np.float64)
+        both = _shared(sets)
+        near = both / (size[:, None] + size - both) >= SIMILAR
+        first = {r: n for n, r in reversed(list(enumerate(roots)))}
+        group = np.array([first[r] for r in roots])
+        a, b = np.nonzero(near & (group[:, None] < group))
+        out = []
+        for x, y in zip(group[a].tolist(), group[b].tolist()):
+            x, y = group[x], group[y]
+            if x != y:   # the two are one from now on
+                out.append((keys[x], keys[y]))
+                group[group == max(x, y)] = min(x, y)
+        return out
+
+    def run(batches):
+        now, held, out = None, [], []
+        for b in batches:
+            for g, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (g, i, j) != now:
+                    out += block(held) if len(held) > 1 else []
+                    now, held = (g, i, j), []
+                held.append(row)
+            yield _pairs(out)
+            out = []
+        yield _pairs(block(held) if len(held) > 1 else [])
+
+    return (rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+            .mapInArrow(run, "a binary, b binary"))
+
+
+def _pairs(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
 def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs``: (id, mark, text).  Returns the places of all lines with a
     word, and (key, root) of the lines that have a similar other line."""
@@ -225,13 +293,8 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     member = materialize(member, "line-roots")
     in_group = groups.join(member, "k").select("g", "k", "key", "root")
     torn = in_group.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    torn = materialize(in_group.join(torn.select("g"), "g", "left_semi"), "torn-groups")
-    x, y = torn.alias("x"), torn.alias("y")
-    rest = (x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.root") < F.col("y.root")))
-            .select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct())
-    rest = rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    rest = rest.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = materialize(_verified(rest, texts), "similar-lines")
+    torn = in_group.join(torn.select("g"), "g", "left_semi").drop("k")
+    more = materialize(_across(materialize(torn, "torn-groups"), texts), "similar-lines")
     if not more.isEmpty():
         roots = connected_components(found.unionAll(more))
     return places, roots.select(F.col("node").alias("key"), "root")
