@@ -33,7 +33,7 @@ SHINGLE = 8
 BINS, ROWS = 60, 5
 BANDS = BINS // ROWS
 SIMILAR = 0.8
-RUN_CHARS = 4 << 20
+RUN_CHARS = 1 << 20
 BUCKET_BYTES = 16 << 20
 BLOCK, COLUMNS = 256, 1 << 14
 #: Bits of the bitmap that picks lines whose text is needed (4 MB).
