@@ -533,6 +533,12 @@ def m15_predictions(spark, sf_dir):
     return _orders_training(spark, sf_dir, cv=False).predictions
 
 
+def r2_insights(spark, sf_dir):
+    """R2: sentences on missing values, trend, concentration, shape, gap."""
+    from tallyframe.operators import report as R
+    return R.insight_lines(R.analyze(TB.load(spark, sf_dir, "orders"), target="o_totalprice", money_scale=MONEY))
+
+
 def r2_model_insight(spark, sf_dir):
     return M.model_insight(_quality_training(spark, sf_dir, cv=False))
 
@@ -657,6 +663,7 @@ QUERIES = {
     "m14_permutation": m14_permutation,
     "m15_predictions": m15_predictions,
     "m16_comparison": m16_comparison,
+    "r2_insights": r2_insights,
     "r2_model_insight": r2_model_insight,
     "t8_context_lines": t8_context_lines,
     "t7_answers": t7_answers,
