@@ -46,10 +46,9 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of sources at weights 1, 2, 3 takes of documents."""
     from tallyframe.llm import source_mix as X
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out, name, sources = X.mix(docs)
-    out = out.select("doc_id", F.element_at(f"{name}.sources", 1).alias("source"), F.col(f"{name}.size").alias("size"),
-                     (F.col(f"{name}.size") * F.col(f"{name}.copies")).alias("taken"))
+    out, sources = X.shares(table(spark, sf_dir, "documents"))
+    out = out.select(F.col("id").alias("doc_id"), F.element_at("sources", 1).alias("source"), "size",
+                     (F.col("size") * F.col("copies")).alias("taken"))
     return (out.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
             .select("doc_id", "size", "source_size", "target", "taken"))
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import SPACE_CLASS, fresh, materialize, prepare
+from tallyframe.llm.common import SPACE_CLASS, fresh, let, materialize, prepare
 from tallyframe.llm.components import connected_components
 
 WEIGHTS = (1, 2, 3)
@@ -31,9 +31,13 @@ DIGITS = 3
 
 
 def number_of_words(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    trimmed = F.regexp_replace(t, rf"^{SPACE_CLASS}|{SPACE_CLASS}$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE_CLASS))).cast("long")
+    """Words of a text, by its pieces between white space: the first and
+    last piece are empty where the text begins or ends with it."""
+    def counted(pieces: Column) -> Column:
+        n = F.size(pieces)
+        edge = lambda i: F.when(F.get(pieces, i) == "", 1).otherwise(0)
+        return F.when(n == 1, 1 - edge(F.lit(0))).otherwise(n - edge(F.lit(0)) - edge(n - 1)).cast("long")
+    return let(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), counted)
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
@@ -220,12 +224,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken; rows alike in id and text are taken alike; an empty table gives
     empty results; all columns of ``docs`` are kept."""
     prepare(docs.sparkSession)
-    given = F.col(f"`{source_col}`")
-    if docs.schema[source_col].dataType.typeName() == "array":
-        none = F.array(F.lit(None).cast("string"))
-        members = F.when(F.coalesce(F.size(given), F.lit(0)) > 0, F.sort_array(F.array_distinct(given))).otherwise(none)
-    else:
-        members = F.array(given.cast("string"))
+    members = _members(docs, source_col)
     name, = fresh(docs, "mix")
     t = F.col(f"`{text_col}`")
     seen = docs.withColumn(name, F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(t).alias("mark"),
@@ -236,6 +235,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return apply_choice(seen, name, choice, seed), name, named
 
 
+def shares(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+           weights=WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """(id, size, sources, copies) per row of ``docs``, and the table of
+    sources: as ``mix``, without the documents, whose texts are read once."""
+    prepare(docs.sparkSession)
+    t, members = F.col(f"`{text_col}`"), _members(docs, source_col)
+    rows = materialize(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(t).alias("mark"),
+                                   number_of_words(t).alias("size"), members.alias("sources")), "sizes")
+    named, patterns = plan(rows, weights, repeats)
+    out = apply_choice(rows.select(F.struct("*").alias("mix")), "mix", choose(rows, patterns, seed), seed)
+    return out.select("mix.*"), named
+
+
+def _members(docs: DataFrame, source_col: str) -> Column:
+    given = F.col(f"`{source_col}`")
+    if docs.schema[source_col].dataType.typeName() != "array":
+        return F.array(given.cast("string"))
+    none = F.array(F.lit(None).cast("string"))
+    return F.when(F.coalesce(F.size(given), F.lit(0)) > 0, F.sort_array(F.array_distinct(given))).otherwise(none)
+
+
 def apply_choice(seen: DataFrame, name: str, choice: DataFrame, seed: str) -> DataFrame:
     c, = fresh(seen, "choice")
     choice = choice.select(F.struct("*").alias(c))
