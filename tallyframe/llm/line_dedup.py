@@ -19,6 +19,8 @@ through a few others).
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,7 +37,7 @@ BANDS = BINS // ROWS
 SIMILAR = 0.8
 RUN_CHARS = 1 << 20
 BUCKET_BYTES = 16 << 20
-BLOCK, COLUMNS = 256, 1 << 14
+BLOCK, COLUMNS, FEW = 256, 1 << 14, 24
 #: Bits of the bitmap that picks lines whose text is needed (4 MB).
 BITMAP = 1 << 25
 _FULL = np.uint64(2**64 - 1)
@@ -237,12 +239,16 @@ def _across(torn: DataFrame, texts: DataFrame) -> DataFrame:
         if len(set(roots)) < 2:
             return []
         sets = [shingles(x) for x in lines]
-        size = np.array([len(s) for s in sets], np.float64)
-        both = _shared(sets)
-        near = both / (size[:, None] + size - both) >= SIMILAR
         first = {r: n for n, r in reversed(list(enumerate(roots)))}
         group = np.array([first[r] for r in roots])
-        a, b = np.nonzero(near & (group[:, None] < group))
+        if len(rows) <= FEW:   # sets are quicker than a matrix
+            near = [(x, y) for x, y in combinations(range(len(rows)), 2)
+                    if roots[x] != roots[y] and jaccard(sets[x], sets[y]) >= SIMILAR]
+            a, b = (np.array([p[k] for p in near], np.int64) for k in (0, 1))
+        else:
+            size = np.array([len(s) for s in sets], np.float64)
+            both = _shared(sets)
+            a, b = np.nonzero((both / (size[:, None] + size - both) >= SIMILAR) & (group[:, None] < group))
         out = []
         for x, y in zip(group[a].tolist(), group[b].tolist()):
             x, y = group[x], group[y]
