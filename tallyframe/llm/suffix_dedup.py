@@ -33,10 +33,10 @@ from tallyframe.llm.common import free_shuffles, materialize, prepare
 LENGTH = 400
 PRIME = 13
 #: A run of documents ends at so many bytes or starts (about 80 bytes each).
-RUN_BYTES, RUN_STARTS = 16 << 20, 2_000_000
+RUN_BYTES, RUN_STARTS = 16 << 20, 1_000_000
 SEGMENT = 1 << 20
 #: Bytes of text for each bucket of samples, and of full suffixes.
-SAMPLE_BUCKET, SUFFIX_BUCKET = 48 << 20, 4 << 20
+SAMPLE_BUCKET, SUFFIX_BUCKET = 40 << 20, 2 << 20
 
 
 def difference_cover(p: int = PRIME) -> tuple[int, list[int]]:
@@ -130,7 +130,7 @@ def _dealt(batches, starts_of, buckets: int):
         h = np.concatenate([first.at(raw, s, w) for _, _, _, raw, s, w in run])
         g = np.concatenate([second.at(raw, s, w) for _, _, _, raw, s, w in run])
         bounds = np.cumsum([0] + [len(s) for *_, s, _ in run])
-        begin = np.cumsum([0] + [len(raw) for _, _, _, raw, _, _ in run])[:-1]
+        begin = np.cumsum([0] + [len(raw) for _, _, _, raw, _, _ in run])[:-1]   # below 2**32, as offsets are
         place = np.concatenate([s + b for (*_, s, _), b in zip(run, begin)])
         owner = np.repeat(np.arange(len(run), dtype=np.int32), np.diff(bounds))
         keys = np.array([(k1, k2, off) for k1, k2, off, *_ in run], np.int64)
@@ -152,7 +152,7 @@ def _dealt(batches, starts_of, buckets: int):
                     rows.append((name, b"", h[part].tobytes(), b"", b""))
                 else:
                     here = np.unique(owner[part])
-                    docs = np.concatenate([keys[here], begin[here][:, None]], 1)
+                    docs = np.stack([keys[here, 0], keys[here, 1], keys[here, 2] << 32 | begin[here]], 1)
                     rows.append((name, h[part].tobytes(), b"", docs.tobytes(), pack(place[part])))
         if multi.any():
             idx = np.flatnonzero(multi)
@@ -190,12 +190,14 @@ def _settled(frame: pd.DataFrame) -> pd.DataFrame:
             hit = np.flatnonzero(tie[a:b])
             if not len(hit):
                 continue
-            docs = np.frombuffer(docs, np.int64).reshape(-1, 4)
+            docs = np.frombuffer(docs, np.int64).reshape(-1, 3)   # keys; offset and begin, 32 bits each
+            begins = docs[:, 2] & 0xFFFFFFFF
             place = unpack(p)[hit]
-            owner = np.searchsorted(docs[:, 3], place, side="right") - 1
+            owner = np.searchsorted(begins, place, side="right") - 1
             low = h[a:b][hit]
             for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(owner)) + 1):
-                k1, k2, off, begin = docs[owner[part[0]]].tolist()
+                k1, k2, both = docs[owner[part[0]]].tolist()
+                off, begin = both >> 32, both & 0xFFFFFFFF
                 out.append((k1, k2, off, int(low[part].min().view(np.int64)), pack(place[part] - begin)))
     return pd.DataFrame(out, columns=["k1", "k2", "off", "low", "p"])
 
