@@ -1,12 +1,14 @@
 """Licence scans: Dice coefficient over word bigrams, DataFrame functions only.
 
-Every line of a text, and a text of several lines as a whole, is normalised
-to lower-case words and compared with licence templates.  Bigrams are
-counted with repeats, so a segment of n bigrams can reach coefficient d with
-a template of m only if d / (2 - d) * m <= n <= (2 - d) / d * m: other
-templates are skipped, as are those that share no bigram.  Templates are a
-parameter of bounded size and travel inside the expression; nothing is
-joined or shuffled.
+Every line of a text, a text of several lines as a whole, and every run of
+words inside lines or across them is normalised to lower-case words and
+compared with licence templates.  Bigrams are counted with repeats, so a
+segment of n bigrams can reach coefficient d with a template of m only if
+d / (2 - d) * m <= n <= (2 - d) / d * m: other templates are skipped, as are
+those that share no bigram.  The best runs begin and end with a bigram of
+their template, so only those are tried.  Templates are a parameter of
+bounded size and travel inside the expression; nothing is joined or
+shuffled.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from tallyframe.llm.common import let
 
 LEAST = 0.8
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: Poor telltales of a notice: ordinary texts hold them.
+COMMON = set("a all and any as at be but by for from if in is it may not of on or other than that the their this to under "
+             "whom with without work you".split())
 
 #: Public licence notices.
 TEMPLATES = [
@@ -80,9 +85,99 @@ def _literal(templates) -> Column:
         for name, m, low, high, grams in templates])
 
 
+def telling(known) -> list[str]:
+    """Words of which a text holds at least one wherever a run of its words
+    reaches a template: without them more bigrams lack than may."""
+    out: set[str] = set()
+    for _, m, low, _, grams in known:
+        left, lacking = dict(grams), 0
+        for w in sorted({w for g in left for w in g.split()}, key=lambda w: (w in COMMON, w not in out, -len(w), w)):
+            if lacking > m - low:
+                break
+            touched = [g for g in left if w in g.split()]
+            lacking += sum(left.pop(g) for g in touched)
+            out.update([w] if touched else [])
+    return sorted(out)
+
+
+def _clash(a: Column, b: Column) -> Column:
+    return (a["first"] <= b["last"]) & (b["first"] <= a["last"])
+
+
+def _apart(ranked: Column) -> Column:
+    """The runs that meet no better one; ``ranked`` has the best first."""
+    return F.aggregate(ranked, F.slice(ranked, 1, 0), lambda kept, x: F.when(
+        F.exists(kept, lambda y: _clash(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+
+
+def runs(words: Column, known, least: float) -> Column:
+    """Array of (name, dice, shared, first, last): runs of ``words`` that
+    reach a template, first and last word counted from 0.  Each bigram of a
+    template begins at most one run of it, the best.  Where runs of one
+    template meet, the highest coefficient stays (ties: the most shared
+    bigrams, then the first); of several templates, the most shared bigrams
+    (ties: the highest coefficient, the first, the name)."""
+    vocabulary = sorted({g for *_, grams in known for g, _ in grams})
+    run = lambda x: F.struct(*[x[c] for c in ("name", "dice", "shared", "first", "last")])
+    by = lambda some, *key: F.transform(F.array_sort(F.transform(
+        some, lambda x: F.struct(*[(-x[c[1:]] if c[0] == "-" else x[c]).alias(f"k{i}") for i, c in enumerate(key)],
+                                 run(x).alias("run")))), lambda x: x["run"])
+
+    def of(t: Column, mine: Column) -> Column:
+        # A run from anchor k holds t.low anchors within t.high bigrams.
+        starts = F.filter(F.transform(mine, lambda x, k: F.struct(k.alias("k"), x["at"].alias("at"))),
+                          lambda s: F.get(mine, s["k"] + t["low"] - 1)["at"] < s["at"] + t["high"])
+
+        # An anchor counts in a run from s if the one as many repeats back as
+        # the template has of its bigram lies before s.
+        def capped(x: Column, k: Column) -> Column:
+            before = F.filter(F.slice(mine, F.greatest(F.lit(1), k + 1 - t["high"]), F.least(k, t["high"])),
+                              lambda y: y["gram"] == x["gram"])
+            repeats = F.get(t["counts"], F.array_position(t["grams"], x["gram"]).cast("int") - 1)
+            return F.struct(x["at"].alias("at"),
+                            F.coalesce(F.get(before, F.size(before) - repeats)["at"], F.lit(-1)).alias("past"))
+
+        def best(s: Column, anchors: Column) -> Column:
+            def step(a: Column, x: Column) -> Column:
+                shared = a["hits"] + (x["past"] < s["at"]).cast("int")
+                n = x["at"] - s["at"] + 1
+                dice = 2.0 * shared / (n + t["m"])
+                better = (n <= t["high"]) & (dice > a["dice"])
+                keep = lambda new, c: F.when(better, new).otherwise(a[c]).alias(c)
+                return F.struct(shared.alias("hits"), keep(dice, "dice"), keep(shared, "shared"), keep(x["at"], "end"))
+            zero = F.struct(F.lit(0).alias("hits"), F.lit(0.0).alias("dice"), F.lit(0).alias("shared"), F.lit(-1).alias("end"))
+            top = F.aggregate(F.slice(anchors, s["k"] + 1, t["high"]), zero, step)
+            return let(top, lambda b: F.struct(t["name"].alias("name"), b["dice"].alias("dice"), b["shared"].alias("shared"),
+                                               s["at"].alias("first"), (b["end"] + 1).alias("last")))
+
+        def found(starts: Column) -> Column:
+            each = let(F.transform(mine, capped), lambda anchors: F.transform(starts, lambda s: best(s, anchors)))
+            hits = F.filter(F.when(F.size(starts) > 0, each), lambda x: x["dice"] >= least)
+            return let(by(hits, "-dice", "-shared", "first"), _apart)
+        return let(starts, found)
+
+    def all_of(grams: Column) -> Column:
+        def tried(seen: Column) -> Column:
+            near = F.filter(_literal(known), lambda t: F.size(F.array_intersect(t["grams"], seen))
+                            >= t["low"] - t["m"] + F.size(t["grams"]))
+            each = F.transform(near, lambda t: let(
+                F.filter(grams, lambda x: F.array_contains(t["grams"], x["gram"])), lambda mine: of(t, mine)))
+            return let(by(F.flatten(F.filter(each, lambda x: x.isNotNull())), "-shared", "-dice", "first", "name"), _apart)
+        return let(F.array_distinct(F.transform(grams, lambda x: x["gram"])), tried)
+
+    pairs = F.filter(F.transform(words, lambda w, i: F.struct(
+        i.alias("at"), F.concat_ws(" ", w, F.get(words, i + 1)).alias("gram"))), lambda x: x["gram"].isin(vocabulary))
+    return F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in telling(known)])), let(pairs, all_of))
+
+
 def notices(text: Column, templates=TEMPLATES, least: float = LEAST) -> Column:
     """Array of (name, dice, line): the best template of each segment that
-    reaches ``least``; line numbers count from 1, the whole text is 0."""
+    reaches ``least``; line numbers count from 1, the whole text is 0.
+
+    Runs of words that are no whole line have the number of the line they
+    begin in.  A run is left out where it meets a line with as many shared
+    bigrams or the whole text is a notice of the same licence, and a line
+    where a run of the same licence that meets it shares more."""
     known = prepared(templates, least)
     fewest, most = min(t[2] for t in known), max(t[3] for t in known)
     words = lambda t: F.filter(F.split(F.lower(t), NOT_WORD), lambda w: w != "")
@@ -100,7 +195,8 @@ def notices(text: Column, templates=TEMPLATES, least: float = LEAST) -> Column:
             hits = F.filter(F.transform(near, dice), lambda x: x["dice"] >= least)
             best = F.array_max(F.transform(hits, lambda x: F.struct(x["dice"], x["m"])))
             names = F.transform(F.filter(hits, lambda x: F.struct(x["dice"], x["m"]) == best), lambda x: x["name"])
-            return F.struct(F.array_min(names).alias("name"), best["dice"].alias("dice"), segment["line"].alias("line"))
+            return F.struct(F.array_min(names).alias("name"), best["dice"].alias("dice"), segment["line"].alias("line"),
+                            F.round(best["dice"] * (n + best["m"]) / 2).cast("int").alias("shared"))
         pairs = F.slice(F.transform(segment["words"], lambda w, i: F.concat_ws(" ", w, F.get(segment["words"], i + 1))),
                         1, F.size(segment["words"]) - 1)
         return let(pairs, scored)
@@ -114,8 +210,37 @@ def notices(text: Column, templates=TEMPLATES, least: float = LEAST) -> Column:
         return F.concat(each, F.coalesce(whole, F.slice(each, 1, 0)))
 
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), words)
-    found = let(lines, lambda x: F.transform(segments(x), against))
-    return F.filter(found, lambda x: x["name"].isNotNull())
+    notice = lambda x, line: F.struct(x["name"].alias("name"), x["dice"].alias("dice"), line.alias("line"))
+    plain = lambda found: F.transform(found, lambda x: notice(x, x["line"]))
+
+    def merged(lines: Column, found: Column, others: Column) -> Column:
+        count = lambda some: F.aggregate(some, F.lit(0), lambda a, w: a + F.size(w))
+        placed = F.transform(F.filter(found, lambda h: h["line"] > 0), lambda h: let(
+            count(F.slice(lines, 1, h["line"] - 1)), lambda at: F.struct(
+                h["name"].alias("name"), h["line"].alias("line"), h["shared"].alias("shared"), at.alias("first"),
+                (at + F.size(F.get(lines, h["line"] - 1)) - 1).alias("last"))))
+
+        def line_of(x: Column) -> Column:
+            zero = F.struct(F.lit(0).alias("seen"), F.lit(1).alias("line"))
+            return F.aggregate(lines, zero, lambda a, w: F.struct(
+                (a["seen"] + F.size(w)).alias("seen"),
+                (a["line"] + (a["seen"] + F.size(w) <= x["first"]).cast("int")).alias("line")))["line"]
+
+        def joined(placed: Column) -> Column:
+            kept = F.filter(others, lambda x: ~F.exists(placed, lambda h: _clash(h, x) & (h["shared"] >= x["shared"]))
+                            & ~F.exists(found, lambda h: (h["line"] == 0) & (h["name"] == x["name"])))
+            return let(kept, lambda kept: F.concat(
+                plain(F.filter(found, lambda f: ~F.exists(placed, lambda h: (h["line"] == f["line"]) & F.exists(
+                    kept, lambda x: _clash(h, x) & (h["name"] == x["name"]))))),
+                F.transform(kept, lambda x: notice(x, line_of(x)))))
+        return let(placed, joined)
+
+    def both(lines: Column) -> Column:
+        found = F.filter(F.transform(segments(lines), against), lambda x: x["name"].isNotNull())
+        others = let(F.flatten(lines), lambda words: runs(words, known, least))
+        return let(found, lambda found: let(others, lambda others: F.when(
+            F.size(others) > 0, merged(lines, found, others)).otherwise(plain(found))))
+    return let(lines, both)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES,
