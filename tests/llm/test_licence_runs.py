@@ -1,5 +1,6 @@
 """Licence notices that are neither a whole line nor a whole text."""
 
+import os
 import random
 import re
 import textwrap
@@ -69,3 +70,45 @@ def test_runs_against_brute_force(spark):
     # a line stands for a run in it with as many shared bigrams, so compare on lines too long for the template
     flat = [" ".join(t.split()) + " end of it" * 20 for t in texts]
     assert [max((x.dice for x in r), default=0) for r in scanned(spark, flat, templates=[("X", template)])] == list(map(best, flat))
+
+
+BSD = """Copyright (c) The Regents of the University of California.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED.  IN NO EVENT SHALL THE REGENTS OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS
+OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)
+HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY
+OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF
+SUCH DAMAGE.
+"""
+
+
+def test_licence_bodies(spark):
+    """The texts of licences themselves, alone and inside a longer text."""
+    two = re.sub(r"3\. Neither.*?permission\.\n", "", BSD, flags=re.S)
+    texts = [("BSD-3-Clause", BSD), ("BSD-3-Clause", PROSE + "\n" + BSD + PROSE), ("BSD-2-Clause", two + PROSE)]
+    shelf = "/usr/share/common-licenses"
+    for name, file in [("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-3.0", "LGPL-3"),
+                       ("MPL-2.0", "MPL-2.0")]:
+        if os.path.exists(f"{shelf}/{file}"):
+            texts.append((name, open(f"{shelf}/{file}", encoding="utf-8").read()))
+    found = scanned(spark, [t for _, t in texts])
+    assert [set(r) for r in names(found)] == [{n} for n, _ in texts]
