@@ -187,11 +187,16 @@ def prepared(templates=TEMPLATES, least: float = LEAST) -> list[tuple[str, int,
     return out
 
 
+def _strings(values) -> Column:
+    """An array of strings without bars, folded into one constant."""
+    return F.split(F.lit("|".join(values)), "[|]")
+
+
 def _literal(templates) -> Column:
     return F.array(*[F.struct(
         F.lit(name).alias("name"), F.lit(m).alias("m"), F.lit(low).alias("low"), F.lit(high).alias("high"),
-        F.array(*[F.lit(g) for g, _ in grams]).alias("grams"), F.array(*[F.lit(c) for _, c in grams]).alias("counts"))
-        for name, m, low, high, grams in templates])
+        _strings([g for g, _ in grams]).alias("grams"),
+        _strings([str(c) for _, c in grams]).cast("array<int>").alias("counts")) for name, m, low, high, grams in templates])
 
 
 def telling(known) -> list[str]:
@@ -274,9 +279,12 @@ def runs(words: Column, known, least: float) -> Column:
             return let(by(F.flatten(F.filter(each, lambda x: x.isNotNull())), "-shared", "-dice", "first", "name"), _apart)
         return let(F.array_distinct(F.transform(grams, lambda x: x["gram"])), tried)
 
-    pairs = F.filter(F.transform(words, lambda w, i: F.struct(
-        i.alias("at"), F.concat_ws(" ", w, F.get(words, i + 1)).alias("gram"))), lambda x: x["gram"].isin(vocabulary))
-    return F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in telling(known)])), let(pairs, all_of))
+    every = F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
+    known_grams = _strings(vocabulary)
+    pairs = let(every, lambda every: let(F.array_intersect(every, known_grams), lambda seen: F.filter(
+        F.transform(every, lambda g, i: F.struct(i.alias("at"), g.alias("gram"))),
+        lambda x: F.array_contains(seen, x["gram"]))))
+    return F.when(F.arrays_overlap(words, _strings(telling(known))), let(pairs, all_of))
 
 
 def notices(text: Column, templates=TEMPLATES, least: float = LEAST) -> Column:
@@ -312,7 +320,7 @@ def notices(text: Column, templates=TEMPLATES, least: float = LEAST) -> Column:
 
     def segments(lines: Column) -> Column:
         each = F.filter(F.transform(lines, lambda w, i: F.struct((i + 1).alias("line"), w.alias("words"))),
-                        lambda s: fits(F.size(s["words"]) - 1))
+                        lambda s: fits(F.size(s["words"]) - 1) & F.arrays_overlap(s["words"], _strings(telling(known))))
         total = F.aggregate(lines, F.lit(0), lambda a, w: a + F.size(w))
         whole = F.when((F.size(lines) > 1) & fits(total - 1),
                        F.array(F.struct(F.lit(0).alias("line"), F.flatten(lines).alias("words"))))
