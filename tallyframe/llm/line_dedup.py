@@ -32,7 +32,7 @@ from tallyframe.llm.common import SPACES, chunks, free_shuffles, fresh, material
 from tallyframe.llm.components import connected_components
 
 SHINGLE = 8
-BINS, ROWS = 60, 5
+BINS, ROWS = 100, 4
 BANDS = BINS // ROWS
 SIMILAR = 0.8
 RUN_CHARS = 1 << 20
