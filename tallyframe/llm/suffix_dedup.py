@@ -1,17 +1,17 @@
-"""Suffix dedup: difference-cover samples, then one suffix bucket at a time.
+"""Suffix dedup: difference-cover samples, then one bucket of hashes at a time.
 
 Bytes covered by a string of ``LENGTH`` bytes that also starts elsewhere go.
 The construction is blockwise.  A difference cover modulo v (a set D whose
 differences give every number modulo v) fixes sample suffixes: for any two
 equal strings of LENGTH bytes, one of their first v positions is a sample in
-both.  So the samples' first LENGTH - v + 1 bytes are ranked first; a
+both.  So the samples' first LENGTH - v + 1 bytes are compared first; a
 suffix without a tied sample in its first v bytes can't repeat, and only the
-others are dealt to buckets.  A bucket is sorted by itself, in one task,
-with its ties settled; memory is bounded by the bucket, and the number of
-buckets grows with the input.
+others are dealt to buckets.  No suffix is sorted and no sample ranked: the
+hashes of a bucket are sorted in one task, and equal ones are ties; memory
+is bounded by the bucket, and the number of buckets grows with the input.
 
 Strings are compared by 64-bit rolling hashes within buckets that a second,
-independent rolling hash chooses.  What repeats inside one run of documents
+independent rolling hash chooses; the bytes themselves aren't compared.  What repeats inside one run of documents
 is settled there and leaves one mark, so a passage that stands in a third of
 all documents reaches a bucket once for each run, not once for each place.
 Documents with equal texts are one document from the second phase on.
