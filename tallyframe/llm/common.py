@@ -9,7 +9,7 @@ import sys
 from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.session import shared_path
@@ -104,3 +104,15 @@ def chunks(values: list, limit: int, size: Callable) -> Iterator[list]:
         total += n
     if run:
         yield run
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], k: int, spread: str, salts: int = 64) -> DataFrame:
+    """The first ``k`` rows of each key with their ``rank``: ranked by shares
+    of a key (by the hash of column ``spread``) first, so that no task sorts
+    all rows of one."""
+    salt, = fresh(rows, "salt")
+    first = Window.partitionBy(*keys, salt).orderBy(*order)
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(salts)))
+    rows = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    return (rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+            .where(F.col("rank") <= k).drop(salt))

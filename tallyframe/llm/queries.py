@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, over whole tables."""
+"""Registered queries of the thirteen operators, over whole tables."""
 
 from __future__ import annotations
 
@@ -90,6 +90,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that score highest for each benchmark item."""
+    from tallyframe.llm import lexical_search as L
+    return L.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest products of every 50th vector with other rows."""
+    from tallyframe.llm import vector_topk as V
+    return V.top_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far sources of a language are apart, and by which terms."""
+    from tallyframe.llm import source_audit as A
+    return A.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -101,4 +119,7 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_vector_topk": op12_vector_topk,
+    "op13_source_audit": op13_source_audit,
 }

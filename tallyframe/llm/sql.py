@@ -148,9 +148,67 @@ FROM d LEFT JOIN best ON best.r = d.r LEFT JOIN total ON total.r = d.r
 """
 
 
+#: Postings of asked terms, summed by item and document.
+LEXICAL_SEARCH = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS l FROM t),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) GROUP BY r, term),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM d CROSS JOIN c),
+m AS (SELECT r, doc_id, 25 + (75 * len(w) * n_docs) // l AS m FROM t CROSS JOIN c WHERE len(w) > 0),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w.w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+#: Every query against every other row.
+VECTOR_TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id
+         ORDER BY list_dot_product(q.x, v.x) DESC, v.vec_id) AS INTEGER) AS rank,
+       v.vec_id, CAST(list_dot_product(q.x, v.x) AS BIGINT) AS score
+FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5
+"""
+
+#: Every kept term of every two groups.
+SOURCE_AUDIT = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lc FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+l AS (SELECT lang, count(*) AS v, CAST(sum(lc) AS HUGEINT) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, k.lc, coalesce(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang
+      LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS n FROM x GROUP BY lang, source),
+p AS MATERIALIZED (SELECT x.lang, x.source, x.term, x.n, 1 + (1000000000::HUGEINT * (x.n + 1)) // (t.n + l.v) AS p,
+             1 + (1000000000::HUGEINT * (x.lc + 1)) // (l.n + l.v) AS q
+      FROM x JOIN t ON t.lang = x.lang AND t.source = x.source JOIN l ON l.lang = x.lang),
+a AS (SELECT g.lang, g.source, h.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+      FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN p a ON a.lang = g.lang AND a.source = g.source
+      LEFT JOIN p b ON b.lang = h.lang AND b.source = h.source AND b.term = a.term GROUP BY g.lang, g.source, h.source),
+u AS (SELECT lang, source, 'pair' AS part, item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM a
+      UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM u QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
 ORACLE: dict[str, str] = {
     "op1_quality_rules": _quality_rules(),
     "op3_embedding_dedup": EMBEDDING_DEDUP,
     "op4_source_mix": SOURCE_MIX,
     "op7_license_scan": _license_scan(),
+    "op11_lexical_search": LEXICAL_SEARCH,
+    "op12_vector_topk": VECTOR_TOPK,
+    "op13_source_audit": SOURCE_AUDIT,
 }
