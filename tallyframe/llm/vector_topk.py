@@ -20,8 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.llm.common import free_shuffles, materialize, prepare, ranked
@@ -35,6 +34,7 @@ BLOCK_NUMBERS, BLOCK_ROWS = 1 << 20, 16_384
 FOCUS, TRIED, WORTH = 4, 24, 0.25
 SLACK = 1e-9
 CHUNK = 256
+LIMIT = 2**63 - 1
 
 
 def usable(vec: Column) -> Column:
@@ -45,39 +45,29 @@ def usable(vec: Column) -> Column:
 
 
 def whole(vec: Column) -> Column:
-    return F.transform(vec, lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+    """floor(SCALE * x) as doubles; from 2^53 on doubles are whole."""
+    def one(x: Column) -> Column:
+        y = x.cast("double") * SCALE
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    return F.transform(vec, one)
 
 
-def _numbered(rows: DataFrame, order: list, numbers: int, most: int) -> DataFrame:
-    """``rows`` sorted by dims and ``order`` with run (of at most ``most``
-    rows or ``numbers`` numbers of one dims), team (GROUP runs) and own."""
-    schema = rows.schema.simpleString()[len("struct<"):-1]
-
-    def run(batches):
-        base, at, left, now, own = TaskContext.get().partitionId() << 40, 0, 0, None, 0
-        for b in batches:
-            dims = b.column("dims").to_numpy()
-            runs = np.zeros(len(dims), np.int64)
-            for a, z in _stretches([dims]):
-                d = int(dims[a])
-                size = max(1, min(most, numbers // max(1, d)))
-                if now != d:
-                    now, left = d, size
-                    at = (at // GROUP + 1) * GROUP   # a team has one dims
-                while a < z:
-                    if not left:
-                        at, left = at + 1, size
-                    n = min(left, z - a)
-                    runs[a:a + n] = at
-                    a, left = a + n, left - n
-            owns = own + np.arange(len(dims))
-            own += len(dims)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(base + runs), pa.array(base + runs // GROUP), pa.array(base + owns)],
-                names=[*b.schema.names, "run", "team", "own"])
-
+def _numbered(rows: DataFrame, order: list, numbers: int, most: int, name: str) -> DataFrame:
+    """``rows`` sorted by dims and ``order``, written down, with own (their
+    rank), run (``most`` neighbours, fewer where they hold more than
+    ``numbers`` numbers) and team (GROUP runs), whatever the partitions."""
     by = ["dims", *order]
-    return rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, f"{schema}, run long, team long, own long")
+    held = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("row", F.monotonically_increasing_id())
+    held = materialize(held, name).withColumn("part", F.shiftright("row", 33))
+    before = Window.partitionBy("dims").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = held.groupBy("dims", "part").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))   # a row a partition
+    parts = parts.select("dims", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    size = F.greatest(F.lit(1), F.least(F.lit(most), F.call_function("div", F.lit(numbers), F.greatest(F.col("dims"), F.lit(1)))))
+    mark = F.shiftleft(F.col("dims").cast("long"), 40)
+    rank = F.col("row") - F.col("first") + F.col("before")
+    return (held.join(parts, ["dims", "part"]).withColumn("own", mark + rank)
+            .withColumn("run", mark + F.call_function("div", rank, size))
+            .withColumn("team", mark + F.call_function("div", rank, size * GROUP)).drop("row", "part", "first", "before"))
 
 
 def _stretches(columns: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -131,13 +121,14 @@ class Bucket:
 
 
 def products(q: np.ndarray, v: np.ndarray, bound: float) -> np.ndarray:
-    """Exact products of whole numbers: doubles, 64-bit or Python's."""
+    """Products of whole numbers: exact in doubles, 64 bits or Python's
+    numbers, whose results are limited to 64 bits."""
     if bound < 2.0**53:
         return (q @ v.T).astype(np.int64)
     if bound < 2.0**62:
         return q.astype(np.int64) @ v.astype(np.int64).T
     big = lambda m: np.array([[int(x) for x in r] for r in m], object).reshape(m.shape)
-    return big(q) @ big(v).T
+    return np.clip(big(q) @ big(v).T, -LIMIT, LIMIT).astype(np.int64)
 
 
 class _Block:
@@ -152,8 +143,7 @@ class _Block:
 
     def add(self, query, score, null, ids, own) -> None:
         rows = [np.concatenate([a, b]) for a, b in zip(self.best, (query, score, null, ids, own))]
-        value = np.unique(rows[1], return_inverse=True)[1] if rows[1].dtype == object else rows[1]
-        order = np.lexsort((rows[4], rows[3], rows[2], -value, rows[0]))
+        order = np.lexsort((rows[4], rows[3], rows[2], -rows[1], rows[0]))
         rows = [r[order] for r in rows]
         first = np.searchsorted(rows[0], rows[0])
         place = np.arange(len(first)) - first
@@ -199,14 +189,11 @@ class _Block:
         return cut
 
     def _keep(self, query, found, score, own, null, ids) -> None:
-        score = np.where(self.own[query][:, None] == own[found][None, :], None, score) if score.dtype == object else score
-        if score.dtype == object:
-            good = np.array([[x is not None and x >= self.bar[i] for x in r] for i, r in zip(query, score)], bool).reshape(score.shape)
-        else:
-            bar = self.bar[query].copy()
-            if score.shape[1] > self.k:   # the own row may be among them: one more
-                bar = np.maximum(bar, np.partition(score, score.shape[1] - self.k - 1, axis=1)[:, score.shape[1] - self.k - 1])
-            good = (score >= bar[:, None]) & (self.own[query][:, None] != own[found][None, :])
+        bar = self.bar[query].copy()
+        if score.shape[1] > self.k:   # the own row may be among them: one more
+            at = score.shape[1] - self.k - 1
+            bar = np.maximum(bar, np.partition(score, at, axis=1)[:, at])
+        good = (score >= bar[:, None]) & (self.own[query][:, None] != own[found][None, :])
         r, c = np.nonzero(good)
         if len(r):
             at = found[c]
@@ -214,11 +201,9 @@ class _Block:
 
     def rows(self) -> pa.RecordBatch:
         query, score, null, ids, own = self.best
-        limit = 2**63 - 1
-        score = [max(-limit, min(limit, int(s))) for s in score.tolist()]
         return pa.RecordBatch.from_arrays(
             [pa.array(self.own[query]), pa.array(self.ids[query]), pa.array(ids, mask=null.astype(bool)), pa.array(own),
-             pa.array(score, pa.int64())], names=["own", "query_id", "vec_id", "vec_own", "score"])
+             pa.array(score)], names=["own", "query_id", "vec_id", "vec_own", "score"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -281,9 +266,9 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     Components x count as floor(256 x).  A vector that is null or holds a
     null or non-finite component (also times 256) takes no part.  Every row
     is a candidate, repeated rows too; a query leaves out its own row only,
-    so repeated query rows come out once each.  Scores beyond 64 bits are
-    ranked exactly and returned as the largest or smallest long.  Fewer
-    than k candidates give fewer rows; an empty table gives an empty one;
+    so repeated query rows come out once each.  A score beyond 64 bits is
+    the largest or smallest long, in ranking too.  Fewer than k candidates
+    give fewer rows; an empty table gives an empty one;
     other columns are not read."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -291,8 +276,8 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), vec.alias("v")).where(usable(F.col("v")))
     rows = rows.select("id", F.size("v").alias("dims"), whole(F.col("v")).alias("x"))
     rows = rows.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x)))
-    rows = rows.withColumn("seed", F.xxhash64("id", "x")).select("id", "dims", "norm", "seed", F.transform("x", lambda x: x).alias("x"))
-    held = materialize(_numbered(rows, [F.col("norm").desc(), "seed"], BUCKET_NUMBERS, BUCKET_ROWS), "vector-buckets")
+    rows = rows.withColumn("seed", F.xxhash64("id", "x")).select("id", "dims", "norm", "seed", "x")
+    held = _numbered(rows, [F.col("norm").desc(), "seed"], BUCKET_NUMBERS, BUCKET_ROWS, "vector-buckets")
     free_shuffles(spark)
     buckets = materialize(held.groupBy("dims", "team", "run").agg(F.max("norm").alias("top")), "bucket-lengths")
     asked = held.where(F.coalesce(is_query, F.lit(False))).drop("seed", "run").withColumnRenamed("team", "block")
@@ -308,9 +293,8 @@ def top_products(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str =
     ready = asked.drop("block").join(theta, "own", "left")
     need = F.when((F.col("theta") > 0) & (F.col("norm") > 0), F.col("theta") / F.col("norm")).otherwise(0.0)
     ready = ready.select("id", "dims", "norm", "theta", "x", F.col("own").alias("mine"), need.alias("need"))
-    ready = _numbered(ready, ["need", "mine"], BLOCK_NUMBERS, BLOCK_ROWS)
+    ready = _numbered(ready, ["need", "mine"], BLOCK_NUMBERS, BLOCK_ROWS, "query-blocks")
     ready = ready.select("id", "dims", "norm", "theta", "x", "need", F.col("mine").alias("own"), F.col("run").alias("block"))
-    ready = materialize(ready, "query-blocks")
     free_shuffles(spark)
 
     # buckets that are long enough for some query of a block

@@ -193,3 +193,81 @@ def mix(rows, weights=(1, 2, 3), most=3, seed="mix-1"):
         if more:
             copies[max(more, key=lambda i: (sizes[i], draw(i)))] += 1
     return [(n, total[r[2]], target[r[2]], c) for n, r, c in zip(sizes, rows, copies)]
+
+
+def terms(text, digits=True):
+    import re
+    keep = "0-9A-Za-z" if digits else "A-Za-z"
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(rf"[{keep}\x80-\U0010ffff]+", low)
+
+
+def lexical_search(docs, items, k=10):
+    """[(item, rank, id, score)] of all items."""
+    import math
+    from collections import Counter
+    each = [Counter(terms(t)) for _, t in docs]
+    n_docs, length = sum(1 for c in each if c), sum(c.total() for c in each)
+    df = Counter(t for c in each for t in c)
+    out = []
+    for item, text in set(items):
+        found = []
+        for (i, _), c in zip(docs, each):
+            n = c.total()
+            score = 0
+            for t in terms(text):
+                if c[t]:
+                    m = 25 + 75 * n * n_docs // length
+                    w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    score += w * (10**9 * c[t] // (1000 * c[t] + 8 * m))
+            if score > 0:
+                found.append((-score, i is None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(found)[:k], 1)]
+    return out
+
+
+def vector_topk(rows, is_query, k=5):
+    """[(query id, rank, id, score)] over rows (id, vector or None)."""
+    import math
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows
+            if v is not None and all(x is not None and math.isfinite(256 * x) for x in v)]
+    out = []
+    for a, (i, q) in enumerate(good):
+        if is_query(i):
+            clip = lambda s: max(-(2**63 - 1), min(2**63 - 1, s))
+            found = sorted((-clip(sum(x * y for x, y in zip(q, v))), j is None, j)
+                           for b, (j, v) in enumerate(good) if a != b and len(v) == len(q))
+            out += [(i, r, j, -s) for r, (s, _, j) in enumerate(found[:k], 1)]
+    return out
+
+
+def source_audit(docs, least=3, ranks=200):
+    """[(lang, source, part, item, value, rank)] over (text, lang, source)."""
+    from collections import Counter
+    docs = [(t or "", a or "", s or "") for t, a, s in docs]
+    df, lc, gc = Counter(), Counter(), Counter()
+    for t, a, s in docs:
+        here = Counter(terms(t, digits=False))
+        for x, n in here.items():
+            df[a, x] += 1
+            lc[a, x] += n
+            gc[a, s, x] += n
+    groups = {(a, s) for _, a, s in docs}
+    out = []
+    for lang in {a for a, _ in groups}:
+        kept = [x for a, x in df if a == lang and df[a, x] >= least]
+        v = len(kept)
+
+        def shares(count):
+            n = sum(map(count, kept))
+            return {x: 1 + 10**9 * (count(x) + 1) // (n + v) for x in kept}
+        own = {s: shares(lambda x, s=s: gc[lang, s, x]) for a, s in groups if a == lang}
+        q = shares(lambda x: lc[lang, x])
+        f = lambda p, q: (p - q) * (p - q) // q
+        for s, p in own.items():
+            pair = [(h, sum(f(p[x], r[x]) for x in kept)) for h, r in own.items() if h != s]
+            term = [(x, f(p[x], q[x])) for x in kept if gc[lang, s, x] and p[x] > q[x]]
+            order = lambda r: (-r[1], r[0].encode())
+            out += [(lang, s, "pair", i, x, n) for n, (i, x) in enumerate(sorted(pair, key=order), 1)]
+            out += [(lang, s, "term", i, x, n) for n, (i, x) in enumerate(sorted(term, key=order)[:ranks], 1)]
+    return out
