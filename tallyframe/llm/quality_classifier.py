@@ -14,13 +14,14 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import materialize, prepare
+from tallyframe.llm.common import discard, free_shuffles, materialize, prepare
 
-DIMENSIONS = 1 << 18
+DIMENSIONS = 1 << 18   # a power of two
 #: The model sees at most so many labelled rows (smallest hash of the id).
 TRAIN_ROWS = 20_000
 SHARDS, ROUNDS = 8, 4
@@ -49,7 +50,7 @@ def grams(text: str) -> np.ndarray:
     pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] + np.uint64(1)
     pair[h[:-1] == h[1:]] = 1   # a word after itself is one gram, whichever word
     both = np.concatenate([h * np.uint64(0xD6E8FEB86659FD93), pair * np.uint64(0xC2B2AE3D27D4EB4F)])
-    return (both >> np.uint64(64 - 18)).astype(np.int64)
+    return (both >> np.uint64(65 - DIMENSIONS.bit_length())).astype(np.int64)   # the top bits of a product mix best
 
 
 def _weights(z, n):
@@ -61,11 +62,30 @@ def _sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
+def follow(z: np.ndarray, n: np.ndarray, rows) -> np.ndarray:
+    """FTRL over (label, weight numbers, counts) in their order; ``z`` and
+    ``n`` change in place.  Returns which weights were met."""
+    touched = np.zeros(len(z), bool)
+    for y, at, count in rows:
+        at = np.append(at, len(z) - 1)
+        x = np.append(count / max(1, count.sum()) * SCALE, 1.0)
+        w = _weights(z[at], n[at])
+        g = (_sigmoid(w @ x) - y) * x
+        z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
+        n[at] += g * g
+        touched[at] = True
+    return touched
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         train_rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights (the last one is the intercept).  ``labels`` has the id and
     a label 0 or 1; null ids and labels are left out, repeated labels of an
-    id are averaged.  Without any labelled text all weights are 0."""
+    id are averaged.  Repeated documents of a labelled id are a row each.
+    Without any labelled text all weights are 0.
+
+    A row's shard is its id's hash modulo SHARDS and its turn in a round a
+    hash of id and round, so the fit doesn't depend on partitions."""
     spark = docs.sparkSession
     prepare(spark)
     i, y, t = (F.col(f"`{c}`") for c in (id_col, label_col, text_col))
@@ -79,36 +99,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             found = [np.unique(grams(x), return_counts=True) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(1), b.column(2), pa.array([k for k, _ in found], pa.list_(pa.int64())),
-                 pa.array([c / max(1, c.sum()) * SCALE for _, c in found], pa.list_(pa.float64()))],
-                names=["y", "h", "at", "x"])
+                [b.column(1), b.column(2), pa.array([k.astype(np.int32) for k, _ in found], pa.list_(pa.int32())),
+                 pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))], names=["y", "h", "at", "x"])
 
-    sample = materialize(rows.mapInArrow(counted, "y double, h bigint, at array<bigint>, x array<double>"), "training")
+    sample = rows.mapInArrow(counted, "y double, h bigint, at array<int>, x array<int>")
+    sample = materialize(sample.withColumn("shard", F.pmod("h", F.lit(SHARDS))), "training")
+    free_shuffles(spark)
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast((z, n))
 
-        def shard(batches):
+        def shard(frame: pd.DataFrame) -> pd.DataFrame:   # at most train_rows rows in all shards
             z, n = (a.copy() for a in start.value)
-            touched = np.zeros(DIMENSIONS + 1, bool)
-            for b in batches:
-                for y, at, x in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
-                    at = np.append(at.values.to_numpy(), DIMENSIONS)
-                    x = np.append(x.values.to_numpy(), 1.0)
-                    w = _weights(z[at], n[at])
-                    g = (_sigmoid(w @ x) - y) * x
-                    z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
-                    n[at] += g * g
-                    touched[at] = True
-            at = np.flatnonzero(touched)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(z[at]), pa.array(n[at])], names=["at", "z", "n"])
-
-        moved = (sample.repartition(SHARDS, F.col("h") % SHARDS).sortWithinPartitions(F.xxhash64("h", F.lit(turn)))
-                 .mapInArrow(shard, "at bigint, z double, n double")
-                 .groupBy("at").agg(F.avg("z").alias("z"), F.avg("n").alias("n")))
+            frame = frame.sort_values("turn", kind="stable")
+            at = np.flatnonzero(follow(z, n, zip(frame["y"], frame["at"], frame["x"])))
+            return pd.DataFrame({"shard": int(frame["shard"].iloc[0]), "at": at, "z": z[at], "n": n[at]})
+
+        mean = lambda c: (F.aggregate("of", F.lit(0.0), lambda a, s: a + s[c]) / F.size("of")).alias(c)
+        moved = (sample.withColumn("turn", F.xxhash64("h", F.lit(turn))).groupBy("shard")
+                 .applyInPandas(shard, "shard bigint, at bigint, z double, n double")
+                 .groupBy("at").agg(F.sort_array(F.collect_list(F.struct("shard", "z", "n"))).alias("of"))   # at most SHARDS
+                 .select("at", mean("z"), mean("n")))
         got = moved.toPandas()   # at most DIMENSIONS + 1 rows
         z[got["at"]], n[got["at"]] = got["z"], got["n"]
         start.destroy()
+        del moved
+        free_shuffles(spark)
+    discard(sample)
     return _weights(z, n)
 
 

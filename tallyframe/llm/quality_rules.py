@@ -24,11 +24,12 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 ROUNDS = 30
 KEEP_AT = 0.5
-#: Start values, and the range that each estimate stays in.  The ranges say
-#: what a rule is written for: it speaks against few good texts (so the
-#: classes can't swap), and it may know only one kind of bad text.
-PRIOR, RIGHT_ON_GOOD, RIGHT_ON_BAD = 0.85, 0.99, 0.3
-PRIOR_RANGE, GOOD_RANGE, BAD_RANGE = (0.5, 0.95), (0.98, 0.999), (0.1, 0.9)
+#: Start values, each as strong as so many texts, hold which class is good.
+#: The ranges only keep a rule from being counted as worse than chance on
+#: good texts and leave it to know one kind of bad text; a rule that speaks
+#: against a whole kind of good texts is found to err and loses its weight.
+PRIOR, RIGHT_ON_GOOD, RIGHT_ON_BAD, PSEUDO = 0.85, 0.99, 0.3, 10
+PRIOR_RANGE, GOOD_RANGE, BAD_RANGE = (0.5, 0.95), (0.6, 0.999), (0.1, 0.9)
 
 #: Rules: name, condition for good, condition for bad, over the features.
 RULES = [
@@ -147,8 +148,8 @@ def fit(seen: DataFrame, name: str, rounds: int = ROUNDS) -> tuple[float, list[f
                 hit = total(F.transform(w, lambda x: F.when(F.get(x["v"], j) == vote, mass(x)).otherwise(0.0)))
                 spoke = total(F.transform(w, lambda x: F.when(F.get(x["v"], j) != 0, mass(x)).otherwise(0.0)))
                 start, span = (RIGHT_ON_GOOD, GOOD_RANGE) if vote == 1 else (RIGHT_ON_BAD, BAD_RANGE)
-                return _bounded((hit + start) / (spoke + 1), *span)
-            return F.struct(_bounded((g + PRIOR) / (n + 1), *PRIOR_RANGE).alias("prior"),
+                return _bounded((hit + PSEUDO * start) / (spoke + PSEUDO), *span)
+            return F.struct(_bounded((g + PSEUDO * PRIOR) / (n + PSEUDO), *PRIOR_RANGE).alias("prior"),
                             F.transform(at, lambda j: right(j, 1)).alias("good"),
                             F.transform(at, lambda j: right(j, -1)).alias("bad"))
         return let(weighed, rates)

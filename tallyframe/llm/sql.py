@@ -62,11 +62,11 @@ def _quality_rules() -> str:
     for i in range(_q.ROUNDS):
         ctes.append(f"e{i} AS MATERIALIZED (SELECT p.*, n / (1 + exp(-{odds('t')})) AS g FROM patterns p CROSS JOIN t{i} t)")
         rates = ", ".join(
-            within(f"(sum(CASE WHEN v{j} = 1 THEN g ELSE 0 END) + {_q.RIGHT_ON_GOOD}) / "
-                   f"(sum(CASE WHEN v{j} <> 0 THEN g ELSE 0 END) + 1)", _q.GOOD_RANGE) + f" AS g{j}, "
-            + within(f"(sum(CASE WHEN v{j} = -1 THEN n - g ELSE 0 END) + {_q.RIGHT_ON_BAD}) / "
-                     f"(sum(CASE WHEN v{j} <> 0 THEN n - g ELSE 0 END) + 1)", _q.BAD_RANGE) + f" AS b{j}" for j in range(k))
-        prior = within(f"(sum(g) + {_q.PRIOR}) / (sum(n) + 1)", _q.PRIOR_RANGE)
+            within(f"(sum(CASE WHEN v{j} = 1 THEN g ELSE 0 END) + {_q.PSEUDO * _q.RIGHT_ON_GOOD}) / "
+                   f"(sum(CASE WHEN v{j} <> 0 THEN g ELSE 0 END) + {_q.PSEUDO})", _q.GOOD_RANGE) + f" AS g{j}, "
+            + within(f"(sum(CASE WHEN v{j} = -1 THEN n - g ELSE 0 END) + {_q.PSEUDO * _q.RIGHT_ON_BAD}) / "
+                     f"(sum(CASE WHEN v{j} <> 0 THEN n - g ELSE 0 END) + {_q.PSEUDO})", _q.BAD_RANGE) + f" AS b{j}" for j in range(k))
+        prior = within(f"(sum(g) + {_q.PSEUDO * _q.PRIOR}) / (sum(n) + {_q.PSEUDO})", _q.PRIOR_RANGE)
         ctes.append(f"t{i + 1} AS MATERIALIZED (SELECT {prior} AS prior, {rates} FROM e{i})")
     last = f"t{_q.ROUNDS}"
     return rf"""

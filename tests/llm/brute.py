@@ -149,11 +149,11 @@ def quality_rules(rows):
         return out
     for _ in range(Q.ROUNDS):
         p = post()
-        prior = bound((sum(p) + Q.PRIOR) / (len(p) + 1), Q.PRIOR_RANGE)
-        g = [bound((sum(x for x, v in zip(p, votes) if v[j] == 1) + Q.RIGHT_ON_GOOD)
-                   / (sum(x for x, v in zip(p, votes) if v[j]) + 1), Q.GOOD_RANGE) for j in range(k)]
-        b = [bound((sum(1 - x for x, v in zip(p, votes) if v[j] == -1) + Q.RIGHT_ON_BAD)
-                   / (sum(1 - x for x, v in zip(p, votes) if v[j]) + 1), Q.BAD_RANGE) for j in range(k)]
+        prior = bound((sum(p) + Q.PSEUDO * Q.PRIOR) / (len(p) + Q.PSEUDO), Q.PRIOR_RANGE)
+        g = [bound((sum(x for x, v in zip(p, votes) if v[j] == 1) + Q.PSEUDO * Q.RIGHT_ON_GOOD)
+                   / (sum(x for x, v in zip(p, votes) if v[j]) + Q.PSEUDO), Q.GOOD_RANGE) for j in range(k)]
+        b = [bound((sum(1 - x for x, v in zip(p, votes) if v[j] == -1) + Q.PSEUDO * Q.RIGHT_ON_BAD)
+                   / (sum(1 - x for x, v in zip(p, votes) if v[j]) + Q.PSEUDO), Q.BAD_RANGE) for j in range(k)]
     return [not f and p >= Q.KEEP_AT for f, p in zip(failed, post())]
 
 
