@@ -40,6 +40,7 @@ BUCKET_BYTES = 16 << 20
 BLOCK, COLUMNS, FEW = 256, 1 << 14, 24
 #: Bits of the bitmap that picks lines whose text is needed (4 MB).
 BITMAP = 1 << 25
+SALTS = 64
 _FULL = np.uint64(2**64 - 1)
 
 
@@ -143,22 +144,19 @@ def _groups(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the keys: at most BITMAP / 8 bytes from each partition."""
-    def mark(batches):
-        bits = np.zeros(BITMAP, bool)
-        for b in batches:
-            bits[(b.column(0).to_numpy().view(np.uint64) % np.uint64(BITMAP)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-    out = np.zeros(BITMAP // 8, np.uint8)
-    for r in keys.coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r[0], np.uint8)
+    """Bits of the keys, gathered as at most BITMAP / 64 words."""
+    slot = F.pmod(F.col("k"), F.lit(BITMAP).cast("long"))
+    words = (keys.select(F.shiftright(slot, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits"))).toPandas()
+    out = np.zeros(BITMAP // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
 def _places(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(key, k, id, mark, n, line) of every line with a word; ``key`` is its
-    128-bit hash, ``line`` is given once in a while for marked lines."""
+    """(key, k, id, mark, n, hit, line) of every line with a word; ``key`` is
+    its 128-bit hash, ``hit`` says that its bit is set, ``line`` is given
+    once in a while for such lines."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -169,8 +167,8 @@ def _places(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 rows, numbers, lines = _lines(texts)
                 raw = [x.encode("utf-8", "surrogatepass") for x in lines]
                 k = _hash64(raw)
-                slot = k % np.uint64(BITMAP)
-                hit = (shared.value[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.int64))) & 1
+                slot = (k.view(np.int64) % BITMAP).astype(np.uint64)
+                hit = (shared.value[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)
                 first = np.zeros(len(k), bool)
                 first[np.unique(k, return_index=True)[1]] = True
                 keep = hit.astype(bool) & first
@@ -178,12 +176,12 @@ def _places(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     pa.array([xxhash.xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(k.view(np.int64)),
                     b.column(0).take(take), b.column(1).take(take), pa.array(numbers, pa.int32()),
-                    pa.array([x if y else None for x, y in zip(lines, keep.tolist())], pa.string())],
-                    names=["key", "k", "id", "mark", "n", "line"])
+                    pa.array(hit.astype(bool)), pa.array([x if y else None for x, y in zip(lines, keep.tolist())], pa.string())],
+                    names=["key", "k", "id", "mark", "n", "hit", "line"])
                 at += len(texts)
 
     return docs.select("id", "mark", "text").mapInArrow(
-        run, f"key binary, k long, id {kind}, mark long, n int, line string")
+        run, f"key binary, k long, id {kind}, mark long, n int, hit boolean, line string")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -225,6 +223,19 @@ def _shared(sets: list[set]) -> np.ndarray:
     return both
 
 
+def _untested(rows: DataFrame) -> DataFrame:
+    """(g, key, root) of the groups that need a second look.  The pivot's
+    own pairs are known, so it stays out (unless a line of the same 64 bits
+    is with it); groups of one root need nothing; of several groups with the
+    same members one will do."""
+    heads = rows.groupBy("g").agg(F.sum((F.col("k") == F.col("p")).cast("int")).alias("heads"))
+    rest = rows.join(heads, "g").where((F.col("k") != F.col("p")) | (F.col("heads") > 1)).select("g", "key", "root")
+    mark = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"m{i}") for i in (1, 2)]
+    torn = rest.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), *mark)
+    one = torn.where("low <> high").groupBy("n", "m1", "m2").agg(F.min("g").alias("g")).select("g")
+    return rest.join(one, "g")
+
+
 def _across(torn: DataFrame, texts: DataFrame) -> DataFrame:
     """Edges (a, b) that connect similar lines of different roots within
     groups: ``torn`` has (g, key, root)."""
@@ -287,7 +298,7 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = materialize(_places(docs, _bitmap(groups.select("k"))), "line-places")
     texts = materialize(places.where("line is not null").groupBy("k", "key").agg(F.first("line").alias("line"))
                         .join(groups.select("k").distinct(), "k", "left_semi"), "line-texts")
-    often = places.groupBy("k").agg(F.count(F.lit(1)).alias("often"))
+    often = places.where("hit").groupBy("k").agg(F.count(F.lit(1)).alias("often"))
     ranked = groups.join(often, "k").select("g", "k", F.struct("often", "k").alias("rank"))
     pivots = materialize(ranked.groupBy("g").agg(F.max("rank").alias("p")).select("g", F.col("p.k").alias("p")), "pivots")
     pairs = groups.join(pivots, "g").where("k <> p").select(F.col("p").alias("a"), F.col("k").alias("b")).distinct()
@@ -297,10 +308,8 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     member = (texts.join(roots, texts["key"] == roots["node"], "left")
               .select("k", "key", F.coalesce("root", "key").alias("root")))
     member = materialize(member, "line-roots")
-    in_group = groups.join(member, "k").select("g", "k", "key", "root")
-    torn = in_group.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    torn = in_group.join(torn.select("g"), "g", "left_semi").drop("k")
-    more = materialize(_across(materialize(torn, "torn-groups"), texts), "similar-lines")
+    torn = materialize(_untested(groups.join(pivots, "g").join(member, "k").select("g", "k", "p", "key", "root")), "torn-groups")
+    more = materialize(_across(torn, texts), "similar-lines")
     if not more.isEmpty():
         roots = connected_components(found.unionAll(more))
     return places, roots.select(F.col("node").alias("key"), "root")
@@ -314,7 +323,10 @@ def drops(docs: DataFrame) -> DataFrame:
     firsts = places.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("often"))
     firsts = materialize(firsts.join(roots, "key", "left").where("often > 1 or root is not null"), "repeated-lines")
     best = firsts.where("root is not null").groupBy("root").agg(F.min("first").alias("best"))
-    stay = firsts.join(best, "root", "left").select("key", F.coalesce("best", "first").alias("stay"))
+    # a component may hold a third of all lines: its row goes to SALTS places
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    firsts = firsts.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    stay = firsts.join(best, ["root", "salt"], "left").select("key", F.coalesce("best", "first").alias("stay"))
     gone = places.join(stay, "key").where(place != F.col("stay")).select("id", "mark", "n")
     return materialize(gone.groupBy("id", "mark").agg(F.collect_set("n").alias("gone")), "dropped-lines")
 
