@@ -136,3 +136,25 @@ def orders_string_dates(spark, sf_dir) -> DataFrame:
           .when(k % 5 == 2, F.date_format(d, "yyyy/MM/dd"))
           .otherwise(F.date_format(d, "yyyy-MM-dd")))
     return o.select("o_orderkey", s.alias("order_date"), "o_orderstatus", "o_orderpriority", "o_totalprice")
+
+
+def asked_of_suppliers(spark, sf_dir) -> DataFrame:
+    """conversations as questions (q_id, l_suppkey, text): the suggested
+    ones, one on size and one on risks, each of the report of a supplier."""
+    from tallyframe.functions import fixed
+    texts = [*fixed.SUGGESTED_QUESTIONS, *MORE_QUESTIONS]
+    asked = F.array(*[F.lit(q) for q in texts])
+    n = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(texts))) + 1
+    keys = load(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("suppliers"))
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn").join(F.broadcast(keys))   # one row
+    return turns.select(F.concat_ws(":", "conv_id", "turn").alias("q_id"),
+                        F.pmod(F.col("conv_id"), F.col("suppliers")).cast("long").alias("l_suppkey"),
+                        F.element_at(asked, n.cast("int")).alias("text"))
+
+
+#: Questions on size and risks, which no suggested question reaches.
+MORE_QUESTIONS = ["How many rows are there?", "Is there any danger?"]
+
+#: 100 columns of lineitem with NULLs: the numbers, and multiples with waves.
+WIDE_COLUMNS = [(f"w{i:02d}", f"{base} * {1 + i % 5} + {(i * 7) % 13} * ((l_orderkey + {i} * l_linenumber) % {11 + i})")
+                for i, base in enumerate(["l_quantity", "l_discount", "l_extendedprice", "l_tax", "l_partkey"] * 20)]
