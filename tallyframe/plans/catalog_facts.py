@@ -65,6 +65,24 @@ def m6_folds(spark, sf_dir):
     return M.drawn_folds(o, "o_orderkey", "o_orderpriority")
 
 
+def m3_label_encoding_names(spark, sf_dir):
+    """Codes of a column of many values, and of one of few."""
+    part = TB.load(spark, sf_dir, "part")
+    names = ["p_name", "p_brand", "p_type"]
+    coded = M.encode_strings(part, names)
+    return coded.select("p_partkey", *[F.col(n).cast("long").alias(n) for n in names])
+
+
+def s1_exact_ids(spark, sf_dir):
+    """Long ids, codes with leading zeros and numbers with a sign, from CSV:
+    every value as it was written, and the type that each column got."""
+    from tallyframe.session import shared_path
+    from tallyframe.sources.files import read_csv, write_csv
+    back = read_csv(spark, write_csv(TB.orders_ids(spark, sf_dir), shared_path(spark, "ids-csv")))
+    kinds = F.lit(",".join(t for _, t in back.dtypes)).alias("kinds")
+    return back.select(*[F.col(c).cast("string").alias(c) for c in back.columns], kinds)
+
+
 def t2_tfidf(spark, sf_dir):
     return T.tfidf(TB.load(spark, sf_dir, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
@@ -84,6 +102,8 @@ QUERIES = {
     "x1_wide": x1_wide,
     "m5_split": m5_split,
     "m6_folds": m6_folds,
+    "m3_label_encoding_names": m3_label_encoding_names,
+    "s1_exact_ids": s1_exact_ids,
     "t2_tfidf": t2_tfidf,
     "t2_tfidf_topk": t2_tfidf_topk,
 }

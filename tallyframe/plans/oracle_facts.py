@@ -148,6 +148,9 @@ i AS (SELECT term, ln(((SELECT count(DISTINCT doc_id) FROM documents) + 1.0::DOU
 v AS (SELECT doc_id, term, tf, tf * idf AS weight FROM c JOIN i USING (term)),
 u AS (SELECT doc_id, term, tf, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS weight FROM v)"""
 
+PART_TEXTS = ["p_name", "p_brand", "p_type"]
+NAMES = """SELECT p_partkey, """ + ", ".join(f"dense_rank() OVER (ORDER BY {c}) - 1 AS {c}" for c in PART_TEXTS) + " FROM part"
+
 ORACLE = {
     "t8_facts": f"SELECT {_K}, topic, key, metric, round(value, 4) AS value, text FROM {FACTS} x",
     "t7_structured": T7,
@@ -157,6 +160,12 @@ ORACLE = {
     "x1_wide": _WIDE_PAIRS,
     "m5_split": f"SELECT o_orderkey, o_orderpriority, rank <= ceil(size * CASE WHEN n >= 50 THEN 20 ELSE 30 END / 100) AS test FROM {_drawn(fixed.MODEL_SEED)} x",
     "m6_folds": f"SELECT o_orderkey, o_orderpriority, CAST((rank - 1) % least(5, greatest(2, n // 10)) AS INTEGER) AS fold FROM {_drawn(fixed.MODEL_SEED + 1)} x",
+    "m3_label_encoding_names": NAMES,
+    "s1_exact_ids": """SELECT CAST(o_orderkey AS VARCHAR) AS id, '12345678901' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS long_id,
+  lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS code, '+49' || CAST(o_orderkey AS VARCHAR) AS phone,
+  CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 10 AS VARCHAR) || '.5'
+       ELSE '9007199254' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') END AS mixed,
+  CAST(o_orderkey % 100 AS VARCHAR) || '.25' AS part, 'bigint,decimal(38,0),string,string,string,double' AS kinds FROM orders""",
     "t2_tfidf": f"WITH {_TF} SELECT doc_id, term, tf, round(weight, 6) AS weight FROM u",
     "t2_tfidf_topk": f"""WITH {_TF}, qd AS (SELECT item_id, unnest({_words('lower(text)')}) AS term FROM benchmark),
 qc AS (SELECT item_id, term, count(*) * any_value(idf) AS weight FROM qd JOIN i USING (term) GROUP BY ALL),

@@ -158,3 +158,15 @@ MORE_QUESTIONS = ["How many rows are there?", "Is there any danger?"]
 #: 100 columns of lineitem with NULLs: the numbers, and multiples with waves.
 WIDE_COLUMNS = [(f"w{i:02d}", f"{base} * {1 + i % 5} + {(i * 7) % 13} * ((l_orderkey + {i} * l_linenumber) % {11 + i})")
                 for i, base in enumerate(["l_quantity", "l_discount", "l_extendedprice", "l_tax", "l_partkey"] * 20)]
+
+
+def orders_ids(spark, sf_dir) -> DataFrame:
+    """orders as text: a key, one of twenty digits, one of three with
+    zeros, a signed number, and whole numbers beyond 2^53 beside fractions."""
+    k = F.col("o_orderkey")
+    return load(spark, sf_dir, "orders").select(
+        k.cast("string").alias("id"), F.concat(F.lit("12345678901"), F.lpad(k.cast("string"), 9, "0")).alias("long_id"),
+        F.lpad((k % 1000).cast("string"), 3, "0").alias("code"), F.concat(F.lit("+49"), k.cast("string")).alias("phone"),
+        F.when(k % 2 == 0, F.concat((k % 10).cast("string"), F.lit(".5"))).otherwise(
+            F.concat(F.lit("9007199254"), F.lpad(k.cast("string"), 9, "0"))).alias("mixed"),
+        F.concat((k % 100).cast("string"), F.lit(".25")).alias("part"))

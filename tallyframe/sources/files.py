@@ -11,7 +11,12 @@ from tallyframe.functions import fixed
 from tallyframe.functions.columns import nan_to_null
 
 #: Types in the order they are tried; the last resort is string.
-_INFER_ORDER = ["bigint", "double", "boolean", "timestamp_ntz"]
+_INFER_ORDER = ["bigint", "decimal(38,0)", "double", "boolean", "timestamp_ntz"]
+#: Whole numbers as they are printed; codes: a leading zero, a plus sign.
+_WHOLE = r"^-?(0|[1-9]\d*)$"
+_CODE = r"^[+-]?0\d|^\+\d+$"
+#: Whole numbers of more digits than this aren't exact as doubles.
+_DOUBLE_DIGITS = 15
 _ISO = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
 
 
@@ -25,13 +30,23 @@ def _as_type(c: Column, t: str) -> Column:
         return F.when(F.lower(F.trim(c)).isin("true", "false"), c.try_cast("boolean"))
     if t == "timestamp_ntz":
         return F.when(c.rlike(_ISO), c.try_cast(t))
+    text = F.trim(c)
+    if t in ("bigint", "decimal(38,0)"):   # 007 and +49 are codes, not numbers
+        return F.when(text.rlike(_WHOLE), c.try_cast(t))
+    if t == "double":
+        exact = ~text.rlike(r"^[+-]?\d+$") | (F.length(F.regexp_replace(text, "^[+-]", "")) <= _DOUBLE_DIGITS)
+        return F.when(exact & ~text.rlike(_CODE), c.try_cast(t))
     return c.try_cast(t)
 
 
 def infer_types(raw: DataFrame) -> dict:
-    """For each column the first of bigint, double, boolean and timestamp
-    that all of its non-null values are, else string: one aggregate over the
-    whole input, so no later value can be lost."""
+    """For each column the first of bigint, decimal(38,0), double, boolean
+    and timestamp that all of its non-null values are, else string: one
+    aggregate over the whole input, so no later value can be lost.
+
+    No digit is lost either: whole numbers beyond 64 bits become decimals,
+    and where they stand beside fractions, or numbers begin with a zero or a
+    plus sign (codes, telephone numbers), the column stays text."""
     aggs = []
     for i, c in enumerate(raw.columns):
         aggs.append(F.count(_q(c)).alias(f"n{i}"))

@@ -156,3 +156,25 @@ def test_tfidf(spark):
     assert [(r.q_id, r.c_id, r["rank"]) for r in sorted(top, key=lambda r: r["rank"])] == [(9, 5, 1), (9, 2, 2)] or \
         [r.c_id for r in sorted(top, key=lambda r: r["rank"])][0] == 5
     assert T.tfidf(df.limit(0), "id", "t").count() == 0
+
+
+def test_dictionary_needs_no_broadcast(spark, monkeypatch):
+    values = [None if i % 97 == 0 else f"v{(i * 7919) % 500:03d}" for i in range(3000)]
+    df = spark.createDataFrame([(i, v, "nan" if i % 2 else None) for i, v in enumerate(values)], "k long, a string, b string")
+    monkeypatch.setattr(M, "DICT_BROADCAST_BYTES", 0)
+    names = sorted({v or "nan" for v in values})
+    got = {r.k: (r.a, r.b) for r in M.encode_strings(df, ["a", "b"]).collect()}
+    assert got == {i: (float(names.index(v or "nan")), 0.0) for i, v in enumerate(values)}
+    p = M.prepare(df, "a")
+    assert p.n_classes == len(names) and [r.value for r in p.labels.orderBy("code").collect()] == names
+
+
+def test_csv_loses_no_digit(spark, tmp_path):
+    from tallyframe.sources import files as S
+    rows = [("12345678901234567890", "007", "1", "9007199254740993", "1.5", "-3", "1e3"),
+            ("98765432109876543210", "070", "+2", "0.5", "22.25", "0", "0.30000000000000004")]
+    back = S.read_csv(spark, S.write_csv(spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string, g string"),
+                                         str(tmp_path / "ids")))
+    assert [t for _, t in back.dtypes] == ["decimal(38,0)", "string", "string", "string", "double", "bigint", "double"]
+    assert sorted(str(r.a) for r in back.collect()) == sorted(r[0] for r in rows)
+    assert sorted(r.g for r in back.collect()) == [0.30000000000000004, 1000.0]
