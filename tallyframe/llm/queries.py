@@ -57,7 +57,8 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of documents covered by repeated strings of 400 bytes."""
     from tallyframe.llm import suffix_dedup as D
     out = D.repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256",
+                      (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import free_shuffles, materialize, prepare
+from tallyframe.llm.common import discard, free_shuffles, materialize, prepare
 
 LENGTH = 400
 PRIME = 13
@@ -119,14 +120,16 @@ def _runs(segments) -> Iterator[list]:
         yield run
 
 
-_DEALT = "bucket long, h binary, twice binary, docs binary, p binary"
+_DEALT = "bucket long, run long, h binary, twice binary, docs binary, p binary"
 
 
 def _dealt(batches, starts_of, buckets: int):
     """Hashed starts of runs of documents, packed by bucket; starts that
-    repeat inside a run come back at once, as rows without hashes."""
+    repeat inside a run come back at once, as a row without hashes."""
     first, second = Rolling(11, SEGMENT + LENGTH), Rolling(12, SEGMENT + LENGTH)
+    mark = TaskContext.get().partitionId() << 32
     for run in _runs(_segments(batches, starts_of)):
+        mark += 1
         h = np.concatenate([first.at(raw, s, w) for _, _, _, raw, s, w in run])
         g = np.concatenate([second.at(raw, s, w) for _, _, _, raw, s, w in run])
         bounds = np.cumsum([0] + [len(s) for *_, s, _ in run])
@@ -149,30 +152,29 @@ def _dealt(batches, starts_of, buckets: int):
             names, edge = np.unique(bucket[idx], return_index=True)
             for name, part in zip(names.tolist(), np.split(idx, edge[1:])):
                 if kind == "two":
-                    rows.append((name, b"", h[part].tobytes(), b"", b""))
+                    rows.append((name, mark, b"", h[part].tobytes(), b"", b""))
                 else:
                     here = np.unique(owner[part])
                     docs = np.stack([keys[here, 0], keys[here, 1], keys[here, 2] << 32 | begin[here]], 1)
-                    rows.append((name, h[part].tobytes(), b"", docs.tobytes(), pack(place[part])))
+                    rows.append((name, mark, h[part].tobytes(), b"", docs.tobytes(), pack(place[part])))
         if multi.any():
             idx = np.flatnonzero(multi)
-            edge = np.flatnonzero(np.diff(owner[idx])) + 1
-            for part in np.split(idx, edge):
-                o = owner[part[0]]
-                k1, k2, off = keys[o].tolist()
-                docs = np.array([k1, k2, off, int(h[part].min().view(np.int64))], np.int64)
-                rows.append(((k1 ^ k2) % buckets, b"", b"", docs.tobytes(), pack(place[part] - begin[o])))
+            here = np.unique(owner[idx])
+            docs = np.stack([keys[here, 0], keys[here, 1], keys[here, 2] << 32 | begin[here]], 1)
+            low = np.minimum.reduceat(h[idx], np.searchsorted(owner[idx], here))   # a mark of each document's ties
+            rows.append((mark % buckets, mark, b"", low.tobytes(), docs.tobytes(), pack(place[idx])))
         if rows:
-            kinds = [pa.int64()] + [pa.binary()] * 4
+            kinds = [pa.int64()] * 2 + [pa.binary()] * 4
             for a in range(0, len(rows), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a:a + 4096]), kinds)],
-                                                 names=["bucket", "h", "twice", "docs", "p"])
+                                                 names=["bucket", "run", "h", "twice", "docs", "p"])
 
 
 def _settled(frame: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: sorted, its ties returned by document (k1, k2, offset)."""
-    out = [(*np.frombuffer(d, np.int64).tolist(), p) for d, p, h in zip(frame["docs"], frame["p"], frame["h"])
-           if len(d) and not len(h)]
+    """One bucket: sorted, the ties of each run returned in one row, with
+    the documents they stand in (k1, k2, offset, begin) and a mark of each."""
+    own = (frame["h"].str.len() == 0) & (frame["docs"].str.len() > 0)
+    out = list(frame.loc[own, ["run", "docs", "twice", "p"]].itertuples(index=False, name=None))
     blobs = frame[frame["h"].str.len() > 0]
     if len(blobs):
         parts = [np.frombuffer(x, np.uint64) for x in blobs["h"]]
@@ -182,30 +184,45 @@ def _settled(frame: pd.DataFrame) -> pd.DataFrame:
         tie = np.zeros(len(h), bool)
         near = ranked[1:] == ranked[:-1]
         tie[order] = np.append(near, False) | np.append(False, near)
-        twice = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in frame["twice"]]))
+        twice = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x, o in zip(frame["twice"], own) if not o]))
         if len(twice):
             tie |= twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
         edge = np.cumsum([0] + [len(x) for x in parts])
-        for a, b, docs, p in zip(edge[:-1], edge[1:], blobs["docs"], blobs["p"]):
+        for a, b, run, docs, p in zip(edge[:-1], edge[1:], blobs["run"], blobs["docs"], blobs["p"]):
             hit = np.flatnonzero(tie[a:b])
             if not len(hit):
                 continue
             docs = np.frombuffer(docs, np.int64).reshape(-1, 3)   # keys; offset and begin, 32 bits each
-            begins = docs[:, 2] & 0xFFFFFFFF
             place = unpack(p)[hit]
-            owner = np.searchsorted(begins, place, side="right") - 1
-            low = h[a:b][hit]
-            for part in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(owner)) + 1):
-                k1, k2, both = docs[owner[part[0]]].tolist()
-                off, begin = both >> 32, both & 0xFFFFFFFF
-                out.append((k1, k2, off, int(low[part].min().view(np.int64)), pack(place[part] - begin)))
-    return pd.DataFrame(out, columns=["k1", "k2", "off", "low", "p"])
+            owner = np.searchsorted(docs[:, 2] & 0xFFFFFFFF, place, side="right") - 1
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            low = np.minimum.reduceat(h[a:b][hit], first)
+            out.append((run, docs[owner[first]].tobytes(), low.tobytes(), pack(place)))
+    return pd.DataFrame(out, columns=["run", "docs", "low", "p"])
+
+
+def _by_document(frame: pd.DataFrame) -> pd.DataFrame:
+    """The ties of one run from all buckets, by document: at most a run's
+    starts."""
+    place = np.concatenate([unpack(x) for x in frame["p"]])
+    docs = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in frame["docs"]])
+    low = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["low"]])
+    begin = docs[:, 2] & 0xFFFFFFFF
+    order = np.lexsort((low, begin))
+    order = order[np.append(True, begin[order][1:] != begin[order][:-1])]   # a document's least mark
+    docs, low, begin = docs[order], low[order], begin[order]
+    place = np.sort(place)
+    edge = np.append(np.searchsorted(place, begin), len(place))
+    rows = [(k1, k2, both >> 32, mark, pack(place[a:z] - b)) for (k1, k2, both), mark, b, a, z in zip(
+        docs.tolist(), low.view(np.int64).tolist(), begin.tolist(), edge[:-1].tolist(), edge[1:].tolist())]
+    return pd.DataFrame(rows, columns=["k1", "k2", "off", "low", "p"])
 
 
 def _tied(rows: DataFrame, starts_of, buckets: int) -> DataFrame:
     """(k1, k2, at, low): per document, the packed starts that repeat."""
     dealt = rows.mapInArrow(lambda it: _dealt(it, starts_of, buckets), _DEALT)
-    ties = dealt.groupBy("bucket").applyInPandas(_settled, "k1 long, k2 long, off long, low long, p binary")
+    ties = dealt.groupBy("bucket").applyInPandas(_settled, "run long, docs binary, low binary, p binary")
+    ties = ties.groupBy("run").applyInPandas(_by_document, "k1 long, k2 long, off long, low long, p binary")
     return ties.groupBy("k1", "k2").agg(F.collect_list(F.struct("off", "p")).alias("at"), F.min("low").alias("low"))
 
 
@@ -256,14 +273,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     size = known.agg(F.sum("n")).first()[0] or 0
     copied = materialize(known.groupBy("sha").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("k1", "k2")).alias("rep"))
                          .where("rows > 1"), "copied-texts")
-    live = materialize(_tied(src.select("k1", "k2", "raw"), samples, max(12, -(-size // SAMPLE_BUCKET))), "tied-samples")
+    samples_found = materialize(_tied(src.select("k1", "k2", "raw"), samples, max(12, -(-size // SAMPLE_BUCKET))), "tied-samples")
     free_shuffles(spark)
     others = (known.join(copied, "sha").where((F.col("k1") != F.col("rep.k1")) | (F.col("k2") != F.col("rep.k2")))
               .select("k1", "k2").distinct())
-    live = live.join(others, ["k1", "k2"], "left_anti")
+    live = samples_found.join(others, ["k1", "k2"], "left_anti")
     # texts with a tied sample, those that share one side by side
     whole = src.select("k1", "k2", "raw").join(live, ["k1", "k2"]).hint("rebalance", "low")
-    whole = materialize(whole.sortWithinPartitions("low").select("k1", "k2", "raw", "at"), "tied-texts")
+    whole = materialize(whole.sortWithinPartitions("low").select("k1", "k2", "raw", "at"), "tied-texts", "zstd")
+    discard(samples_found)
     free_shuffles(spark)
     left = whole.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     found = materialize(_tied(whole, full, max(12, -(-left // SUFFIX_BUCKET))).select("k1", "k2", F.col("at").alias("hit")),
@@ -290,6 +308,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     result = (whole.select("k1", "k2", "raw").join(found, ["k1", "k2"])
               .mapInArrow(cut, "k1 long, k2 long, starts array<long>, ends array<long>, kept string"))
     result = materialize(result, "removed").dropDuplicates(["k1", "k2"])
+    discard(whole, found)
+    free_shuffles(spark)
     empty = F.lit(hashlib.sha256(b"").hexdigest())
     out = known.join(copied.select("sha", "rows"), "sha", "left").join(result, ["k1", "k2"], "left")
     gone = F.col("rows").isNotNull() & (F.col("n") >= length)
