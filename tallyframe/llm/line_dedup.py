@@ -113,7 +113,8 @@ def _hash64(raw: list[bytes]) -> np.ndarray:
 
 
 def _groups(docs: DataFrame, buckets: int) -> DataFrame:
-    """(g, k): lines (64-bit hash) under band keys that several share."""
+    """(g, k): lines (64-bit hash) that share a band key.  A group's name is
+    made of its members, so lines that share many bands make one group."""
     def packed(batches):
         for b in batches:
             for texts in chunks(b.column(0).to_pylist(), RUN_CHARS, len):
@@ -137,10 +138,15 @@ def _groups(docs: DataFrame, buckets: int) -> DataFrame:
         both = both[np.append(True, ~same.all(1))]
         near = both[1:, 0] == both[:-1, 0]
         both = both[np.append(False, near) | np.append(near, False)]
-        return pd.DataFrame({"g": both[:, 0].view(np.int64), "k": both[:, 1].view(np.int64)})
+        if not len(both):
+            return pd.DataFrame({"g": [], "k": []}, dtype=np.int64)
+        first = np.flatnonzero(np.append(True, both[1:, 0] != both[:-1, 0]))
+        name = np.bitwise_xor.reduceat(_mix(both[:, 1] + np.uint64(0x9E3779B97F4A7C15)), first)
+        g = np.repeat(_mix(name), np.diff(np.append(first, len(both))))
+        return pd.DataFrame({"g": g.view(np.int64), "k": both[:, 1].view(np.int64)})
 
     return (docs.select("text").mapInArrow(packed, "bucket long, blob binary")
-            .groupBy("bucket").applyInPandas(shared, "g long, k long"))
+            .groupBy("bucket").applyInPandas(shared, "g long, k long").distinct())
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
