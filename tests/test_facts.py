@@ -178,3 +178,22 @@ def test_csv_loses_no_digit(spark, tmp_path):
     assert [t for _, t in back.dtypes] == ["decimal(38,0)", "string", "string", "string", "double", "bigint", "double"]
     assert sorted(str(r.a) for r in back.collect()) == sorted(r[0] for r in rows)
     assert sorted(r.g for r in back.collect()) == [0.30000000000000004, 1000.0]
+
+
+@pytest.mark.parametrize("sketch", [40_000, 50])
+def test_exact_quantiles(spark, sketch, monkeypatch):
+    """Brackets of a sketch lose no rank, with ties, gaps and few values."""
+    from tallyframe.operators import profile as P
+    monkeypatch.setattr(P, "SKETCH", sketch)
+    rng = np.random.default_rng(9)
+    cols = {"a": rng.normal(size=3000), "b": rng.integers(0, 3, 3000) * 1.0, "c": np.exp(rng.normal(size=3000) * 5),
+            "d": np.where(np.arange(3000) < 7, np.arange(3000) * 1.0, np.nan), "e": np.full(3000, np.nan)}
+    rows = [tuple(None if v != v and i % 2 else float(v) for v in r) for i, r in enumerate(zip(*cols.values()))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(7)
+    probs = (0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0)
+    got = {(r.column, r.prob): r.value for r in P.exact_quantiles(df, list(cols), probs).collect()}
+    want = {(c, p): np.quantile(x[~np.isnan(x)], p) for c, x in cols.items() for p in probs if (~np.isnan(x)).any()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-12, abs=1e-12)
+    assert P.exact_quantiles(df.limit(0), ["a"]).count() == 0
