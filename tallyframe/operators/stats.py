@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from tallyframe.functions.columns import is_numeric, unbiased_skew
 
 
+#: Columns whose pairs are expressions of one aggregate.
+WIDE = 50
+
+
 def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
@@ -33,8 +37,11 @@ def summary_value_columns(df: DataFrame, limit: int | None = None) -> list[str]:
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson r for every pair i < j, pairwise complete rows.
 
-    One aggregate with n(n-1)/2 ``corr`` expressions; beyond ~50 columns use
-    ``pyspark.ml.stat.Correlation`` on complete rows instead."""
+    One aggregate with n(n-1)/2 ``corr`` expressions up to WIDE columns;
+    beyond, sums of products from blocks of rows (``gram``), also one scan."""
+    if len(cols) > WIDE:
+        from tallyframe.operators.gram import wide_correlation_pairs
+        return wide_correlation_pairs(df, cols).select("c1", "c2", "i", "j", "r")
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "c1 string, c2 string, i int, j int, r double")

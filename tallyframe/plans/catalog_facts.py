@@ -9,6 +9,7 @@ from tallyframe.functions.columns import round_doubles
 from tallyframe.operators import facts as FT
 from tallyframe.operators import gram as G
 from tallyframe.operators import modeling as M
+from tallyframe.operators import stats as X
 from tallyframe.operators import text as T
 from tallyframe.plans import tables as TB
 
@@ -51,8 +52,8 @@ def m7_ridge_by_flag(spark, sf_dir):
 def x1_wide(spark, sf_dir):
     """Correlations of 100 columns derived from lineitem, in one scan."""
     li = TB.lineitem_with_nulls(spark, sf_dir)
-    return round_doubles(G.wide_correlation_pairs(li.select(*[F.expr(e).alias(n) for n, e in TB.WIDE_COLUMNS]),
-                                                  [n for n, _ in TB.WIDE_COLUMNS]), 4)
+    wide = li.select(*[F.expr(e).alias(n) for n, e in TB.WIDE_COLUMNS])
+    return round_doubles(X.correlation_pairs(wide, wide.columns), 4)
 
 
 def m5_split(spark, sf_dir):

@@ -134,7 +134,7 @@ UNION ALL SELECT DISTINCT {_K}, CAST(CASE topic {_NUMBER} END AS INTEGER), 0,
 
 _WIDE = "(SELECT " + ", ".join(f"{e} AS {n}" for n, e in TB.WIDE_COLUMNS) + f" FROM {LINEITEM_NULLS} y)"
 _WIDE_PAIRS = f"""WITH w AS MATERIALIZED (SELECT * FROM {_WIDE} z)
-SELECT i, j, c1, c2, n, CASE WHEN isnan(r) THEN NULL ELSE round(r, 4) END AS r FROM ({_pairs('w', None, [n for n, _ in TB.WIDE_COLUMNS])}) p"""
+SELECT i, j, c1, c2, CASE WHEN isnan(r) THEN NULL ELSE round(r, 4) END AS r FROM ({_pairs('w', None, [n for n, _ in TB.WIDE_COLUMNS])}) p"""
 
 
 def _drawn(seed):
