@@ -133,8 +133,11 @@ UNION ALL SELECT DISTINCT {_K}, CAST(CASE topic {_NUMBER} END AS INTEGER), 0,
   '## ' || CASE topic {_NUMBER} END || '. ' || upper(topic[1]) || topic[2:], CAST(NULL AS DOUBLE) FROM facts"""
 
 _WIDE = "(SELECT " + ", ".join(f"{e} AS {n}" for n, e in TB.WIDE_COLUMNS) + f" FROM {LINEITEM_NULLS} y)"
-_WIDE_PAIRS = f"""WITH w AS MATERIALIZED (SELECT * FROM {_WIDE} z)
-SELECT i, j, c1, c2, CASE WHEN isnan(r) THEN NULL ELSE round(r, 4) END AS r FROM ({_pairs('w', None, [n for n, _ in TB.WIDE_COLUMNS])}) p"""
+_WIDE_CORR = ", ".join(f"{{'i': {i}, 'j': {j}, 'c1': '{a}', 'c2': '{b}', 'r': corr({a}, {b})}}"
+                       for i, (a, _) in enumerate(TB.WIDE_COLUMNS) for j, (b, _) in enumerate(TB.WIDE_COLUMNS) if i < j)
+_WIDE_PAIRS = f"""SELECT CAST(p.i AS INTEGER) AS i, CAST(p.j AS INTEGER) AS j, p.c1 AS c1, p.c2 AS c2,
+  CASE WHEN isnan(p.r) THEN NULL ELSE round(p.r, 4) END AS r
+FROM (SELECT unnest(l) AS p FROM (SELECT [{_WIDE_CORR}] AS l FROM {_WIDE} z) x) y"""
 
 
 def _drawn(seed):
