@@ -17,13 +17,17 @@ from tallyframe.llm.common import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weighed quality rules keep."""
+    """Documents that the weighed quality rules keep.  Null and empty texts
+    have no words and go; repeated rows and rows that differ in other columns
+    alone stay or go alike; an empty table stays empty."""
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one, nearly or fully;
-    a document that loses all its lines stays, empty."""
+    a document that loses all its lines stays, empty.  A null text stays
+    null; rows alike in id and text lose the same lines; of rows of one id
+    with different texts the order is by a hash; an empty table stays empty."""
     out, name = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -31,18 +35,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash neighbours."""
+    """One document of each group of SimHash neighbours.  Texts without
+    words (null, empty) have fingerprint zero and are one group; of repeated
+    rows one stays; an empty table stays empty."""
     return simhash.drop_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, repeats as
+    repeated rows.  A null source is a source; a text without words has
+    nothing to take and goes; an empty table stays empty."""
     return source_mix.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, with hashes of the ids and of the text that
-    they decode to."""
+    they decode to.  A null text is empty and has no ids; every row comes
+    out, repeated ones too; an empty table stays empty."""
     import public_tokenizers
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
