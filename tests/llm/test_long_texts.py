@@ -3,7 +3,6 @@
 import random
 from collections import Counter
 
-
 from tests.llm import brute
 from tests.llm.conftest import ODD
 
