@@ -80,7 +80,18 @@ def snake_name(name: str) -> str:
 
 
 def snake_case_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*[snake_name(c) for c in df.columns])
+    """C5 over all columns.  A name that an earlier column got already, or
+    that has no letter left, takes the next free number: ``a b``, ``a-b`` and
+    ``A_B`` become ``a_b``, ``a_b_2`` and ``a_b_3``."""
+    names: list[str] = []
+    for c in df.columns:
+        base = name = snake_name(c) or "column"
+        turn = 1
+        while name in names:
+            turn += 1
+            name = f"{base}_{turn}"
+        names.append(name)
+    return df.toDF(*names)
 
 
 def parse_timestamp(c, formats=tuple(fixed.DATE_FORMATS)):

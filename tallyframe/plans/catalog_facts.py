@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.columns import round_doubles
+from tallyframe.operators import clean as C
 from tallyframe.operators import facts as FT
 from tallyframe.operators import gram as G
 from tallyframe.operators import modeling as M
@@ -74,6 +75,13 @@ def m3_label_encoding_names(spark, sf_dir):
     return coded.select("p_partkey", *[F.col(n).cast("long").alias(n) for n in names])
 
 
+def c5_equal_names(spark, sf_dir):
+    """All columns of orders under names that become equal in pairs."""
+    o = TB.load(spark, sf_dir, "orders")
+    odd = o.toDF("Order Key", "order-key", "Status!", "(status)", "Order  Date", "%%")
+    return round_doubles(C.snake_case_columns(odd), 4)
+
+
 def s1_exact_ids(spark, sf_dir):
     """Long ids, codes with leading zeros and numbers with a sign, from CSV:
     every value as it was written, and the type that each column got."""
@@ -104,6 +112,7 @@ QUERIES = {
     "m5_split": m5_split,
     "m6_folds": m6_folds,
     "m3_label_encoding_names": m3_label_encoding_names,
+    "c5_equal_names": c5_equal_names,
     "s1_exact_ids": s1_exact_ids,
     "t2_tfidf": t2_tfidf,
     "t2_tfidf_topk": t2_tfidf_topk,

@@ -164,6 +164,8 @@ ORACLE = {
     "m5_split": f"SELECT o_orderkey, o_orderpriority, rank <= ceil(size * CASE WHEN n >= 50 THEN 20 ELSE 30 END / 100) AS test FROM {_drawn(fixed.MODEL_SEED)} x",
     "m6_folds": f"SELECT o_orderkey, o_orderpriority, CAST((rank - 1) % least(5, greatest(2, n // 10)) AS INTEGER) AS fold FROM {_drawn(fixed.MODEL_SEED + 1)} x",
     "m3_label_encoding_names": NAMES,
+    "c5_equal_names": """SELECT o_orderkey AS order_key, o_custkey AS order_key_2, o_orderstatus AS status,
+  round(o_totalprice, 4) AS status_2, o_orderdate AS order_date, o_orderpriority AS "column" FROM orders""",
     "s1_exact_ids": """SELECT CAST(o_orderkey AS VARCHAR) AS id, '12345678901' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS long_id,
   lpad(CAST(o_orderkey % 1000 AS VARCHAR), 3, '0') AS code, '+49' || CAST(o_orderkey AS VARCHAR) AS phone,
   CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 10 AS VARCHAR) || '.5'

@@ -197,3 +197,9 @@ def test_exact_quantiles(spark, sketch, monkeypatch):
     for k in want:
         assert got[k] == pytest.approx(want[k], rel=1e-12, abs=1e-12)
     assert P.exact_quantiles(df.limit(0), ["a"]).count() == 0
+
+
+def test_equal_names_get_numbers(spark):
+    from tallyframe.operators import clean as C
+    df = spark.range(1).selectExpr("1 as `a b`", "2 as `a-b`", "3 as `A_B`", "4 as `a_b_2`", "5 as `#`", "6 as `%`")
+    assert C.snake_case_columns(df).columns == ["a_b", "a_b_2", "a_b_3", "a_b_2_2", "column", "column_2"]
