@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 FAST = ["s7_fingerprint", "p1_roles_orders", "p3_describe", "p4_missing", "c3_trim_nullify", "c6_parse_dates",
         "a2_summary_orders", "a4_prefix_levels", "k2_yoy", "k8_performance_gap", "x1_correlation",
         "d_decisions", "t1_chunks", "t4_keyword_topk", "t6_facts_documents", "m4_prepare_impute",
-        "m11_classification_metrics"]
+        "m11_classification_metrics", "t8_facts", "t7_structured", "r1_sections_by_supplier", "m7_ridge_by_flag", "m5_split",
+        "m6_folds", "m3_label_encoding_names", "s1_exact_ids", "c5_equal_names", "t2_tfidf", "t2_tfidf_topk"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
