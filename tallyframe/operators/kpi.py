@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.functions import fixed
 from tallyframe.functions.columns import pct
 
 TIME_PARTS = ["_year", "_quarter", "_month"]
@@ -103,6 +104,28 @@ def breakdown(summary: DataFrame, keys: list[str], value: str, k: int = 5, ascen
                          pct(F.col("value"), F.col("total")).alias("share_of_total"))
 
 
+def breakdowns(summary: DataFrame, keys: list[str], values: list[str], k: int = 5) -> DataFrame:
+    """K4 for the first three keys that are no time parts by the first two
+    values: (key, metric, name, value, rank, share_of_total), the ``k``
+    largest groups of each pair.  All pairs come from one aggregate over
+    (key, name) with a column a value; NULL names are no group."""
+    keys = [c for c in keys[:fixed.BREAKDOWN_KEYS] if not c.startswith("_")]
+    values = [v for v in values if f"{v}_sum" in summary.columns][:fixed.BREAKDOWN_VALUES]
+    if not keys or not values:
+        return summary.sparkSession.createDataFrame(
+            [], "key string, metric string, name string, value double, rank int, share_of_total double")
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("key"), _q(c).cast("string").alias("name")) for c in keys]))
+    sums = (summary.select(named.alias("kv"), *[_q(f"{v}_sum") for v in values]).select("kv.*", *[_q(f"{v}_sum") for v in values])
+            .where(F.col("name").isNotNull()).groupBy("key", "name")
+            .agg(F.array(*[F.struct(F.lit(v).alias("metric"), F.sum(_q(f"{v}_sum")).cast("double").alias("value")) for v in values])
+                 .alias("all")))
+    one = sums.select("key", "name", F.inline("all"))
+    pair = Window.partitionBy("key", "metric")
+    return (one.withColumn("total", F.sum("value").over(pair))
+            .withColumn("rank", F.row_number().over(pair.orderBy(F.col("value").desc(), "name"))).where(F.col("rank") <= k)
+            .select("key", "metric", "name", "value", "rank", pct(F.col("value"), F.col("total")).alias("share_of_total")))
+
+
 def concentration(summary: DataFrame, keys: list[str], value: str, k: int = 15) -> DataFrame:
     """K6: per key, top-1 and top-2 share of the shown top-k and the >50 % flag."""
     b = breakdown(summary, keys, value, k)

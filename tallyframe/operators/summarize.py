@@ -3,7 +3,9 @@
 Jobs for one summary, whatever the input size:
   1. row count (Parquet metadata) and the sparse-column counts (C1),
   2. distinct counts of string columns (HLL, exact only near the 2..40 band),
-  3. group counts of every key prefix in one ROLLUP over the key columns,
+  3. group counts of every key prefix in one ROLLUP over the key columns;
+     where the keys could have very many combinations, sketches of all
+     prefixes first tell how deep the ROLLUP must go,
   4. the final GROUP BY at the chosen prefix (hash aggregate, map-side combine).
 Duplicate rows do not change distinct values or group counts, so only step 4
 reads the de-duplicated rows; the de-duplicating shuffle runs once.
@@ -68,19 +70,33 @@ def choose_time_column(df: DataFrame) -> tuple[str | None, bool]:
     return None, False
 
 
+def numeric_key_candidates(df: DataFrame, target: str | None = None, skip: set | None = None) -> list[tuple[str, int]]:
+    """A1 option: numeric columns with 2 to 15 distinct values whose name has
+    a hint of a class (region, type, ...); the target is none."""
+    named = [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name != target and f.name not in (skip or ())
+             and any(h in f.name.lower() for h in fixed.NUMERIC_KEY_HINTS)]
+    counts = string_distinct_counts(df, named)
+    return [(c, counts[c]) for c in named if fixed.KEY_MIN_DISTINCT <= counts[c] <= fixed.NUMERIC_KEY_MAX_DISTINCT]
+
+
 def choose_keys(df: DataFrame, time_col: str | None, id_pattern: str = fixed.ID_NAME_PATTERN,
-                min_distinct: int = fixed.KEY_MIN_DISTINCT, max_distinct: int = fixed.KEY_MAX_DISTINCT):
+                min_distinct: int = fixed.KEY_MIN_DISTINCT, max_distinct: int = fixed.KEY_MAX_DISTINCT,
+                numeric_keys: bool = False, target: str | None = None):
     """A1: (group_keys, value_cols, key_distinct) for a cleaned frame.
 
     Keys: time parts, then string columns with min..max distinct values whose
     name does not match the id pattern, by rising distinct count (stable).
     Values: numeric columns other than keys, time column and time parts.
+    With ``numeric_keys`` numbers that name a class are candidates too, after
+    the strings of equally many values.
     """
     id_re = re.compile(id_pattern, re.I)
     strs = [f.name for f in df.schema.fields if is_string(f.dataType) and f.name != time_col]
     eligible = [c for c in strs if not id_re.search(c)]
     counts = string_distinct_counts(df, eligible)
     cands = [(c, counts[c]) for c in eligible if min_distinct <= counts[c] <= max_distinct]
+    if numeric_keys:
+        cands += numeric_key_candidates(df, target, {time_col, "_year", "_quarter", "_month"})
     time_parts = ["_year", "_quarter", "_month"] if time_col else []
     keys = C.dedupe_keep_order(time_parts + [c for c, _ in sorted(cands, key=lambda x: x[1])])
     exclude = set(keys) | {time_col} | {c for c, _ in cands} | {"_year", "_quarter", "_month"}
@@ -150,6 +166,36 @@ def prefix_group_counts(df: DataFrame, keys: list[str]) -> DataFrame:
                   .groupBy("n_keys").agg(F.count(F.lit(1)).alias("groups")))
 
 
+#: Key combinations from which the prefixes are sketched before the ROLLUP.
+LARGE_KEY_SPACE = 1_000_000
+#: Relative error of the sketches, and how far beyond ``max_rows`` an
+#: estimate still counts as near (more than ten standard errors).
+SKETCH_ERROR, NEAR = 0.02, 1.25
+
+
+def deepest_level(df: DataFrame, keys: list[str], max_rows: int) -> int:
+    """The longest prefix of ``keys`` whose estimated groups may be within
+    ``max_rows``: one aggregate with a sketch a prefix, no shuffle of rows.
+    Longer prefixes needn't be counted; the others are counted exactly."""
+    known = [_q(c).isNotNull() for c in keys]
+    estimates, whole = [], None
+    for j in range(1, len(keys) + 1):
+        whole = known[j - 1] if whole is None else whole & known[j - 1]
+        row = F.xxhash64(*[_q(c) for c in keys[:j]])
+        estimates.append(F.approx_count_distinct(F.when(whole, row), SKETCH_ERROR).alias(f"p{j}"))
+    found = df.agg(*estimates).first()
+    return max((j for j in range(1, len(keys) + 1) if found[f"p{j}"] <= NEAR * max_rows), default=0)
+
+
+def key_space(keys: list[str], key_distinct: dict) -> float:
+    """An upper bound of the combinations: distinct values multiplied, a
+    century of time parts."""
+    size = 1.0
+    for k in keys:
+        size *= {"_year": 100, "_quarter": 4, "_month": 3}.get(k) or key_distinct[k]
+    return size
+
+
 def choose_prefix(level_counts: dict, n_keys: int, max_rows: int) -> int:
     """Longest prefix whose summary has at most ``max_rows`` rows; 0 always fits."""
     for j in range(n_keys, 0, -1):
@@ -159,8 +205,11 @@ def choose_prefix(level_counts: dict, n_keys: int, max_rows: int) -> int:
 
 
 def summarize(df: DataFrame, max_rows: int = fixed.MAX_SUMMARY_ROWS, money_scale: int | None = None,
-              drop_duplicates: bool = True) -> Summary:
-    """Condense any table into at most ``max_rows`` rows."""
+              drop_duplicates: bool = True, numeric_keys: bool = False, target: str | None = None) -> Summary:
+    """Condense any table into at most ``max_rows`` rows.
+
+    ``level_counts`` holds the groups of every prefix; of a large key space
+    those of the prefixes that may fit, None for longer ones."""
     df = nan_to_null(df)
     original_rows = df.count()
     original_cols = len(df.columns)
@@ -174,7 +223,7 @@ def summarize(df: DataFrame, max_rows: int = fixed.MAX_SUMMARY_ROWS, money_scale
             rows = C.coerce_dates(rows, [time_col])
         stats_view = C.add_time_parts(stats_view, time_col)
         rows = C.add_time_parts(rows, time_col)
-    keys, values, key_distinct = choose_keys(stats_view, time_col)
+    keys, values, key_distinct = choose_keys(stats_view, time_col, numeric_keys=numeric_keys, target=target)
     meta = {"original_rows": original_rows, "original_cols": original_cols, "group_keys": [],
             "value_cols": values, "time_col": time_col, "agg_rows": 0, "reduction_ratio": 0.0,
             "candidate_keys": keys, "key_distinct": key_distinct}
@@ -183,15 +232,16 @@ def summarize(df: DataFrame, max_rows: int = fixed.MAX_SUMMARY_ROWS, money_scale
         meta["agg_rows"] = table.count()
         meta["reduction_ratio"] = round(meta["agg_rows"] / original_rows, 6) if original_rows else 0.0
         return Summary(table, meta, rows, [])
-    counts = {r["n_keys"]: r["groups"] for r in prefix_group_counts(stats_view, keys).collect()} if keys else {0: 1}
+    deep = deepest_level(stats_view, keys, max_rows) if key_space(keys, key_distinct) > LARGE_KEY_SPACE else len(keys)
+    counts = {r["n_keys"]: r["groups"] for r in prefix_group_counts(stats_view, keys[:deep]).collect()} if deep else {}
     counts[0] = 1
-    j = choose_prefix(counts, len(keys), max_rows)
+    j = choose_prefix(counts, deep, max_rows)
     used = keys[:j]
     table = group_summary(rows, used, values, money_scale)
     meta["group_keys"] = used
     meta["agg_rows"] = counts.get(j, 0)
     meta["reduction_ratio"] = round(meta["agg_rows"] / original_rows, 6) if original_rows else 0.0
-    return Summary(table, meta, rows, [counts.get(i, 0) for i in range(len(keys) + 1)])
+    return Summary(table, meta, rows, [counts.get(i, 0) if i <= deep else None for i in range(len(keys) + 1)])
 
 
 def describe_fallback(df: DataFrame) -> DataFrame:

@@ -194,8 +194,7 @@ def _hits(text, words):
     return " + ".join(f"CAST(contains({text}, '{w}') AS INTEGER)" for w in words)
 
 
-def _p10():
-    doms = fixed.DOMAIN_KEYWORDS
+def _p10(doms=fixed.DOMAIN_KEYWORDS):
     scores = ",\n  ".join(f"{_hits('lower(text)', kws)} AS d{i}" for i, (_, kws) in enumerate(doms))
     best = "greatest(" + ", ".join(f"d{i}" for i in range(len(doms))) + ")"
     case = "CASE " + " ".join(f"WHEN d{i} = {best} AND {best} > 0 THEN '{name}'" for i, (name, _) in enumerate(doms))

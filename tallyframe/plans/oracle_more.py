@@ -186,9 +186,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id
 SELECT q_id, doc_id, chunk_no, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 7"""
 
 
-def _intent_case(x):
+def _intent_case(x, intents=fixed.INTENTS):
     out = "CASE"
-    for name, words in fixed.INTENTS:
+    for name, words in intents:
         cond = " OR ".join(f"contains(lower({x}), '{w}')" for w in words)
         out += f" WHEN {cond} THEN '{name}'"
     return out + f" ELSE '{fixed.FALLBACK_INTENT}' END"

@@ -160,6 +160,26 @@ WIDE_COLUMNS = [(f"w{i:02d}", f"{base} * {1 + i % 5} + {(i * 7) % 13} * ((l_orde
                 for i, base in enumerate(["l_quantity", "l_discount", "l_extendedprice", "l_tax", "l_partkey"] * 20)]
 
 
+def customer_regions(spark, sf_dir) -> DataFrame:
+    """customer with the name of the nation and the number of its region."""
+    nation = load(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "region_no")
+    return (load(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select("c_custkey", "c_acctbal", "c_mktsegment", "region_no", "n_name"))
+
+
+#: Classes of eight string columns of a line's part.
+CLASS_SIZES = [3, 5, 7, 11, 13, 17, 19, 23]
+
+
+def lineitem_many_keys(spark, sf_dir) -> DataFrame:
+    """lineitem with eight columns of classes; every 29th part has none of
+    the third."""
+    part = F.col("l_partkey")
+    classes = [F.when((part % 29 != 0) | F.lit(m != 7), F.concat(F.lit("v"), (part % m).cast("string"))).alias(f"c{m:02d}")
+               for m in CLASS_SIZES]
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_shipdate", *classes)
+
+
 def orders_ids(spark, sf_dir) -> DataFrame:
     """orders as text: a key, one of twenty digits, one of three with
     zeros, a signed number, and whole numbers beyond 2^53 beside fractions."""
