@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,13 +13,16 @@ from tallyframe.functions.columns import (is_integral, is_string, is_temporal,
                                           strip_ws)
 
 
-def drop_sparse_columns(df: DataFrame, min_fraction: float = fixed.SPARSE_MIN_FRACTION) -> DataFrame:
+def drop_sparse_columns(df: DataFrame, min_fraction: float = fixed.SPARSE_MIN_FRACTION, look=None) -> DataFrame:
     """Keep columns with ``non-null count >= min_fraction * rows``.
 
     One aggregate (a row of counts, one value per column) reaches the driver;
     the result is a pure projection, so the scan prunes dropped columns.
+    ``look`` (``one_pass.first_look``) has the counts already.
     """
     cols = df.columns
+    if look is not None:
+        return df.select(*[F.col(f"`{c}`") for c in cols if look.present[c] >= look.n_rows * min_fraction])
     row = df.agg(F.count(F.lit(1)).alias("__n"),
                  *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)]).first()
     n = row["__n"]
@@ -36,14 +39,18 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def cleaned(c: Column, literals=tuple(fixed.NULL_LITERALS)) -> Column:
+    s = strip_ws(c)
+    return F.when(s.isin(*literals), F.lit(None).cast("string")).otherwise(s)
+
+
 def trim_and_nullify(df: DataFrame, literals=tuple(fixed.NULL_LITERALS)) -> DataFrame:
     """Strip white space of string columns, then map null literals to NULL."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if is_string(f.dataType):
-            s = strip_ws(c)
-            c = F.when(s.isin(*literals), F.lit(None).cast("string")).otherwise(s)
+            c = cleaned(c, literals)
         out.append(c.alias(f.name))
     return df.select(*out)
 

@@ -74,7 +74,8 @@ def collapse(frames: list[DataFrame], by: list[str]) -> DataFrame:
     return stacked.groupBy(*by).agg(*aggs) if by else stacked.agg(*aggs)
 
 
-def quality_inputs(rows: DataFrame, by: list[str] = (), min_missing_pct: float = 20.0) -> list[DataFrame]:
+def quality_inputs(rows: DataFrame, by: list[str] = (), min_missing_pct: float = 20.0,
+                   measured: DataFrame | None = None) -> list[DataFrame]:
     """n_rows, worst column above ``min_missing_pct`` and duplicates, per segment."""
     by = list(by)
     cols = [c for c in rows.columns if c not in by]
@@ -94,21 +95,21 @@ def quality_inputs(rows: DataFrame, by: list[str] = (), min_missing_pct: float =
                                  F.sum("count").alias("__n"))
                .select(*by, "duplicates", (F.col("duplicates") / F.col("__n") * 100.0).alias("duplicate_pct")))
         return [sizes, miss, dup]
-    worst = P.worst_missing(rows, min_missing_pct).select(
+    worst = P.worst_missing(rows, min_missing_pct, measured).select(
         F.col("column").alias("worst_missing_col"), F.col("missing_pct").alias("worst_missing_pct"))
     dup = P.duplicate_stats(rows).select("n_rows", "duplicates", "duplicate_pct")
     return [worst, dup]
 
 
 def decision_inputs(rows: DataFrame, summary: DataFrame, meta: dict, primary: str | None,
-                    by: list[str] = (), models: DataFrame | None = None) -> DataFrame:
+                    by: list[str] = (), models: DataFrame | None = None, measured: DataFrame | None = None) -> DataFrame:
     """One KPI row per segment from the cleaned rows, the summary and,
     optionally, a one-row model result (columns of INPUT_SCHEMA).
 
     With ``by`` the summary must contain the segment columns (they are group
     keys of the summary)."""
     by = list(by)
-    frames = quality_inputs(rows, by)
+    frames = quality_inputs(rows, by, measured=measured)
     cats = [k for k in K.category_keys(meta["group_keys"]) if k not in by]
     if primary:
         if "_year" in summary.columns:

@@ -34,22 +34,33 @@ def summary_value_columns(df: DataFrame, limit: int | None = None) -> list[str]:
     return useful[:limit]
 
 
-def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+def pair_array(cols: list[str]) -> Column:
+    """An aggregate: (c1, c2, i, j, r) of every pair i < j."""
+    return F.array(*[F.struct(F.lit(cols[i]).alias("c1"), F.lit(cols[j]).alias("c2"), F.lit(i).alias("i"), F.lit(j).alias("j"),
+                              F.corr(_num(cols[i]), _num(cols[j])).alias("r"))
+                     for i in range(len(cols)) for j in range(i + 1, len(cols))])
+
+
+def skew_array(cols: list[str]) -> Column:
+    """An aggregate: (column, position, skew) of every column."""
+    return F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), unbiased_skew(_num(c)).alias("skew"))
+                     for i, c in enumerate(cols)])
+
+
+def correlation_pairs(df: DataFrame, cols: list[str], measured: DataFrame | None = None) -> DataFrame:
     """Pearson r for every pair i < j, pairwise complete rows.
 
     One aggregate with n(n-1)/2 ``corr`` expressions up to WIDE columns;
-    beyond, sums of products from blocks of rows (``gram``), also one scan."""
+    beyond, sums of products from blocks of rows (``gram``), also one scan.
+    ``measured`` (``one_pass``, where ``cols`` are all numeric columns) has
+    the pairs up to WIDE columns already."""
     if len(cols) > WIDE:
         from tallyframe.operators.gram import wide_correlation_pairs
         return wide_correlation_pairs(df, cols).select("c1", "c2", "i", "j", "r")
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not pairs:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "c1 string, c2 string, i int, j int, r double")
-    structs = [F.struct(F.lit(cols[i]).alias("c1"), F.lit(cols[j]).alias("c2"), F.lit(i).alias("i"),
-                        F.lit(j).alias("j"), F.corr(_num(cols[i]), _num(cols[j])).alias("r")).alias(f"p{n}")
-               for n, (i, j) in enumerate(pairs)]
-    one = df.agg(*structs)
-    return one.select(F.explode(F.array(*[F.col(f"p{n}") for n in range(len(pairs))])).alias("p")).select("p.*")
+    one = df.agg(pair_array(cols).alias("pairs")) if measured is None else measured
+    return one.select(F.inline("pairs"))
 
 
 def strong_pairs(pairs: DataFrame, threshold: float = 0.5, inclusive: bool = False,
@@ -108,11 +119,10 @@ def histograms(df: DataFrame, cols: list[str], bins: int = 25) -> DataFrame:
                           (F.col("mn") + step * F.col("bin")).alias("hi"), "count")
 
 
-def skewness(df: DataFrame, cols: list[str], flag_above: float = 1.5) -> DataFrame:
-    """Bias-corrected skewness per column and the |skew| > 1.5 flag."""
+def skewness(df: DataFrame, cols: list[str], flag_above: float = 1.5, measured: DataFrame | None = None) -> DataFrame:
+    """Bias-corrected skewness per column and the |skew| > 1.5 flag; from
+    ``measured`` (``one_pass``, all numeric columns) without a scan."""
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, position int, skew double, skewed boolean")
-    one = df.agg(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"),
-                            unbiased_skew(_num(c)).alias("skew")).alias(f"s{i}") for i, c in enumerate(cols)])
-    long = one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(cols))])).alias("s")).select("s.*")
-    return long.withColumn("skewed", F.abs(F.col("skew")) > flag_above)
+    one = df.agg(skew_array(cols).alias("skews")) if measured is None else measured
+    return one.select(F.inline("skews")).withColumn("skewed", F.abs(F.col("skew")) > flag_above)

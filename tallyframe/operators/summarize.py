@@ -1,8 +1,9 @@
 """Summary table (A1-A8): key choice, progressive key dropping, group-by.
 
 Jobs for one summary, whatever the input size:
-  1. row count (Parquet metadata) and the sparse-column counts (C1),
-  2. distinct counts of string columns (HLL, exact only near the 2..40 band),
+  1. one look at all rows: their count, non-null counts (C1), sketches of the
+     string columns' distinct values, shares of texts that are dates (C7),
+  2. exact distinct counts of the string columns near the 2..40 band,
   3. group counts of every key prefix in one ROLLUP over the key columns;
      where the keys could have very many combinations, sketches of all
      prefixes first tell how deep the ROLLUP must go,
@@ -24,6 +25,7 @@ from tallyframe.functions import fixed
 from tallyframe.functions.columns import (is_numeric, is_string, is_temporal,
                                           money_sum, nan_to_null)
 from tallyframe.operators import clean as C
+from tallyframe.operators.one_pass import FirstLook, first_look
 from tallyframe.operators.profile import exact_distinct_counts
 
 
@@ -43,19 +45,22 @@ class Summary:
 # A1 key choice
 # ---------------------------------------------------------------------------
 
-def string_distinct_counts(df: DataFrame, cols: list[str], exact_below: int = 100) -> dict:
+def string_distinct_counts(df: DataFrame, cols: list[str], exact_below: int = 100, look: FirstLook | None = None) -> dict:
     """Distinct counts of string columns, exact wherever the 2..40 rule can
     depend on them (HLL estimate <= ``exact_below``), else the estimate."""
     if not cols:
         return {}
-    row = df.agg(*[F.approx_count_distinct(_q(c), 0.05).alias(f"a{i}") for i, c in enumerate(cols)]).first()
-    approx = {c: row[f"a{i}"] for i, c in enumerate(cols)}
+    if look is None:
+        row = df.agg(*[F.approx_count_distinct(_q(c), 0.05).alias(f"a{i}") for i, c in enumerate(cols)]).first()
+        approx = {c: row[f"a{i}"] for i, c in enumerate(cols)}
+    else:
+        approx = look.distinct
     small = [c for c in cols if approx[c] <= exact_below]
     exact = {r["column"]: r["n_distinct"] for r in exact_distinct_counts(df, small).collect()} if small else {}
     return {c: exact.get(c, 0 if c in small else approx[c]) for c in cols}
 
 
-def choose_time_column(df: DataFrame) -> tuple[str | None, bool]:
+def choose_time_column(df: DataFrame, look: FirstLook | None = None) -> tuple[str | None, bool]:
     """First time column that holds timestamps, or strings most of which
     parse (over the whole column), so a few stray dates make none.
 
@@ -64,24 +69,28 @@ def choose_time_column(df: DataFrame) -> tuple[str | None, bool]:
         dt = df.schema[c].dataType
         if is_temporal(dt):
             return c, False
-        rate = df.agg(F.avg(F.when(_q(c).isNotNull(), C.parse_timestamp(_q(c)).isNotNull().cast("double")))).first()[0]
+        if look is not None:
+            rate = look.parsed[c]
+        else:
+            rate = df.agg(F.avg(F.when(_q(c).isNotNull(), C.parse_timestamp(_q(c)).isNotNull().cast("double")))).first()[0]
         if rate is not None and rate > fixed.TIME_PARSE_RATE:
             return c, True
     return None, False
 
 
-def numeric_key_candidates(df: DataFrame, target: str | None = None, skip: set | None = None) -> list[tuple[str, int]]:
+def numeric_key_candidates(df: DataFrame, target: str | None = None, skip: set | None = None,
+                           look: FirstLook | None = None) -> list[tuple[str, int]]:
     """A1 option: numeric columns with 2 to 15 distinct values whose name has
     a hint of a class (region, type, ...); the target is none."""
     named = [f.name for f in df.schema.fields if is_numeric(f.dataType) and f.name != target and f.name not in (skip or ())
              and any(h in f.name.lower() for h in fixed.NUMERIC_KEY_HINTS)]
-    counts = string_distinct_counts(df, named)
+    counts = string_distinct_counts(df, named, look=look)
     return [(c, counts[c]) for c in named if fixed.KEY_MIN_DISTINCT <= counts[c] <= fixed.NUMERIC_KEY_MAX_DISTINCT]
 
 
 def choose_keys(df: DataFrame, time_col: str | None, id_pattern: str = fixed.ID_NAME_PATTERN,
                 min_distinct: int = fixed.KEY_MIN_DISTINCT, max_distinct: int = fixed.KEY_MAX_DISTINCT,
-                numeric_keys: bool = False, target: str | None = None):
+                numeric_keys: bool = False, target: str | None = None, look: FirstLook | None = None):
     """A1: (group_keys, value_cols, key_distinct) for a cleaned frame.
 
     Keys: time parts, then string columns with min..max distinct values whose
@@ -93,10 +102,10 @@ def choose_keys(df: DataFrame, time_col: str | None, id_pattern: str = fixed.ID_
     id_re = re.compile(id_pattern, re.I)
     strs = [f.name for f in df.schema.fields if is_string(f.dataType) and f.name != time_col]
     eligible = [c for c in strs if not id_re.search(c)]
-    counts = string_distinct_counts(df, eligible)
+    counts = string_distinct_counts(df, eligible, look=look)
     cands = [(c, counts[c]) for c in eligible if min_distinct <= counts[c] <= max_distinct]
     if numeric_keys:
-        cands += numeric_key_candidates(df, target, {time_col, "_year", "_quarter", "_month"})
+        cands += numeric_key_candidates(df, target, {time_col, "_year", "_quarter", "_month"}, look)
     time_parts = ["_year", "_quarter", "_month"] if time_col else []
     keys = C.dedupe_keep_order(time_parts + [c for c, _ in sorted(cands, key=lambda x: x[1])])
     exclude = set(keys) | {time_col} | {c for c, _ in cands} | {"_year", "_quarter", "_month"}
@@ -211,11 +220,11 @@ def summarize(df: DataFrame, max_rows: int = fixed.MAX_SUMMARY_ROWS, money_scale
     ``level_counts`` holds the groups of every prefix; of a large key space
     those of the prefixes that may fit, None for longer ones."""
     df = nan_to_null(df)
-    original_rows = df.count()
-    original_cols = len(df.columns)
-    base = C.drop_sparse_columns(df)
+    look = first_look(df)
+    original_rows, original_cols = look.n_rows, len(df.columns)
+    base = C.drop_sparse_columns(df, look=look)
     stats_view = C.trim_and_nullify(base)          # values as analysed; duplicates do not matter here
-    time_col, needs_parse = choose_time_column(stats_view)
+    time_col, needs_parse = choose_time_column(stats_view, look)
     rows = C.trim_and_nullify(C.drop_duplicate_rows(base) if drop_duplicates else base)
     if time_col:
         if needs_parse:
@@ -223,7 +232,7 @@ def summarize(df: DataFrame, max_rows: int = fixed.MAX_SUMMARY_ROWS, money_scale
             rows = C.coerce_dates(rows, [time_col])
         stats_view = C.add_time_parts(stats_view, time_col)
         rows = C.add_time_parts(rows, time_col)
-    keys, values, key_distinct = choose_keys(stats_view, time_col, numeric_keys=numeric_keys, target=target)
+    keys, values, key_distinct = choose_keys(stats_view, time_col, numeric_keys=numeric_keys, target=target, look=look)
     meta = {"original_rows": original_rows, "original_cols": original_cols, "group_keys": [],
             "value_cols": values, "time_col": time_col, "agg_rows": 0, "reduction_ratio": 0.0,
             "candidate_keys": keys, "key_distinct": key_distinct}

@@ -105,3 +105,30 @@ def test_probed_topk_cases(spark):
     assert got == [(1, 1, 1, 1.0), (1, 2, 2, 1.0), (2, 1, 1, 1.0), (2, 2, 2, 1.0), (9, 1, 9, 1.0), (9, 2, 1, -1.0)]
     for a, b in ((df.limit(0), df), (df, df.limit(0)), (df.limit(0), df.limit(0))):
         assert R.probed_topk(a, "i", "v", b, "i", "v", 2).count() == 0
+
+
+def test_one_pass_equals_single_statistics(spark):
+    from tallyframe.operators import clean as C
+    from tallyframe.operators import one_pass as OP
+    from tallyframe.operators import stats as X
+    rows = [(i, float(i * i % 37) if i % 4 else None, "ab"[i % 2] if i % 3 else " None ", f"2020-01-{i % 28 + 1:02d}" if i % 5 else "junk",
+             1.5 if i == 3 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, x double, kind string, day_date string, rare double").repartition(4)
+    nums = ["i", "x", "rare"]
+    one = OP.measure(df)
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert one.count() == 1 and one.first().n_rows == 200
+    assert same(P.missing_report(df), P.missing_report(df, measured=one)) and P.missing_report(df, measured=one).count() == 2
+    assert same(P.worst_missing(df), P.worst_missing(df, measured=one))
+    close = lambda a, b: [tuple(pytest.approx(v) if isinstance(v, float) else v for v in r) for r in a.collect()] == b.collect()
+    for whole, read in ((X.correlation_pairs(df, nums[:2]), X.correlation_pairs(df, nums, one).where("c2 = 'x'")),
+                        (X.skewness(df, nums[:2]), X.skewness(df, nums, measured=one).where("position < 2")),
+                        (P.numeric_target_profile(df, "x"), P.numeric_target_profile(df, "x", one))):
+        assert close(whole, read)
+    look = OP.first_look(df)
+    assert look.n_rows == 200 and look.present == {"i": 200, "x": 150, "kind": 200, "day_date": 200, "rare": 1}
+    assert look.distinct["kind"] == 2 and look.parsed == {"day_date": 0.8}      # " None " is missing
+    assert C.drop_sparse_columns(df, look=look).columns == C.drop_sparse_columns(df).columns == ["i", "x", "kind", "day_date"]
+    assert A.summarize(df).meta["time_col"] == "day_date"
+    none = OP.measure(df.limit(0)).first()
+    assert none.n_rows == 0 and OP.first_look(df.limit(0)).parsed == {"day_date": 0.0}
