@@ -7,9 +7,11 @@ are scored exactly.  The number of visits isn't guessed: the exact search
 runs for a bounded sample of queries, and the visits are as many as found
 the wanted share of their true neighbours.
 
-Every corpus row is in one bucket, so a query meets it once.  Queries of a
-checked size are broadcast and the corpus isn't shuffled; more of them meet
-it by an equi-join on the bucket, where Spark splits a crowded one.
+Every corpus row is in one bucket, so a query meets it once.  Rows and
+queries of a bucket travel as blocks of at most BLOCK vectors, which meet by
+an equi-join on the bucket; a pair of blocks is one matrix product and gives
+back the best k for each query.  Queries of a checked size are broadcast and
+the corpus isn't shuffled; of more, Spark splits a crowded bucket's blocks.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fixed
-from tallyframe.operators.text import BROADCAST_BYTES, cosine_topk, dot, l2_normalize
+from tallyframe.operators.text import BROADCAST_BYTES, cosine_topk, l2_normalize
 
 #: About so many corpus rows share a bucket, of at most 2**MAX_BITS.
 BUCKET_ROWS, MAX_BITS = 64, 12
+BLOCK = 256
 #: Queries whose true neighbours fix the number of visits.
 SAMPLE_QUERIES = 128
 SEED = 20
@@ -81,6 +84,45 @@ def _visits(df: DataFrame, planes: np.ndarray, n: int) -> DataFrame:
     return _with(df, planes, "buckets", pa.list_(pa.int32()), lambda p: list(visit_order(p)[:, :n].astype(np.int32)))
 
 
+def _blocks(df: DataFrame, size: int, side: str) -> DataFrame:
+    """(bucket, ids, vectors end to end): blocks of the rows (id, v, bucket),
+    in the order of ids."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bucket = b.column("bucket").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), b.num_rows]
+            cuts = [x for a, z in zip(edges, edges[1:]) for x in range(a, z, BLOCK)]
+            at = np.array([*cuts, b.num_rows], np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket[cuts]), pa.ListArray.from_arrays(pa.array(at), b.column("id")),
+                 pa.ListArray.from_arrays(pa.array(at * size), b.column("v").flatten())], names=["bucket", f"{side}_ids", f"{side}v"])
+
+    kind = df.schema["id"].dataType.simpleString()
+    rows = df.select("id", "v", "bucket").sortWithinPartitions("bucket", "id")
+    return rows.mapInArrow(run, f"bucket int, {side}_ids array<{kind}>, {side}v array<double>")
+
+
+def _scored(pairs: DataFrame, size: int, k: int) -> DataFrame:
+    """(q_id, c_id, score): the best ``k`` of a corpus block for each query
+    of a query block."""
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                q, c = (b.column(n)[r].values.to_numpy(zero_copy_only=False).reshape(-1, size) for n in ("qv", "cv"))
+                score = q @ c.T
+                top = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :k]   # ids rise in a block
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("q_ids")[r].values.take(pa.array(np.repeat(np.arange(len(q)), top.shape[1]))),
+                     b.column("c_ids")[r].values.take(pa.array(top.ravel())),
+                     pa.array(np.take_along_axis(score, top, 1).ravel())], names=["q_id", "c_id", "score"])
+
+    of = {f.name: f.dataType.elementType.simpleString() for f in pairs.schema.fields if f.name in ("q_ids", "c_ids")}
+    return (pairs.select("q_ids", "qv", "c_ids", "cv")
+            .mapInArrow(run, f"q_id {of['q_ids']}, c_id {of['c_ids']}, score double"))
+
+
 def needed_visits(queries: DataFrame, corpus: DataFrame, planes: np.ndarray, k: int, recall: float) -> int:
     """Visits that find ``recall`` of the true ``k`` neighbours of at most
     SAMPLE_QUERIES queries, drawn by a hash of their ids (unit vectors)."""
@@ -117,10 +159,10 @@ def probed_topk(queries: DataFrame, q_id: str, q_vec: str, corpus: DataFrame, c_
     planes = directions(bits, size)
     visits = needed_visits(asked, known, planes, k, recall)
     told = asked.agg(F.count(F.lit(1))).first()[0] * (8 * size + 40) * visits
-    q = _visits(asked, planes, visits).select(F.col("id").alias("q_id"), F.col("v").alias("qv"), F.explode("buckets").alias("bucket"))
+    spread = _visits(asked, planes, visits).select("id", "v", F.explode("buckets").alias("bucket"))
+    q = _blocks(spread.repartition("bucket"), size, "q")
     if told <= broadcast_bytes:
         q = F.broadcast(q)
-    c = _bucketed(known, planes).select(F.col("id").alias("c_id"), F.col("v").alias("cv"), "bucket")
-    scored = c.join(q, "bucket").select("q_id", "c_id", dot(F.col("qv"), F.col("cv")).alias("score"))
-    w = Window.partitionBy("q_id").orderBy(F.col("score").desc(), F.col("c_id"))
+    scored = _scored(_blocks(_bucketed(known, planes), size, "c").join(q, "bucket"), size, k)
+    w = Window.partitionBy("q_id").orderBy(F.round("score", 12).desc(), F.col("c_id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
