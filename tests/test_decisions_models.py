@@ -104,3 +104,13 @@ def test_split_and_folds_are_disjoint_and_complete(spark):
     folds = M.with_folds(p, 5)
     sizes = [r["count"] for r in folds.groupBy("fold").count().collect()]
     assert sum(sizes) == 300 and max(sizes) - min(sizes) <= 2
+
+
+def test_training_rows_are_written_before_partitions_are_joined(spark):
+    """One task mustn't hold the memory of all partitions of a join or sort:
+    a coalesced plan reads written rows, the same in the same order."""
+    rows = spark.range(400).select(F.col("id"), (F.col("id") % 7).alias("k")).repartition(8, "k").sortWithinPartitions("id")
+    one = M.in_few(rows, 1)
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan.split("InMemoryRelation")[0] and "Exchange" not in plan and "Sort" not in plan
+    assert one.rdd.getNumPartitions() == 1 and one.collect() == rows.coalesce(1).collect()
