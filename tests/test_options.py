@@ -107,6 +107,21 @@ def test_probed_topk_cases(spark):
         assert R.probed_topk(a, "i", "v", b, "i", "v", 2).count() == 0
 
 
+def test_probed_rows_given_back_grow_with_tasks(spark):
+    """A task gives back k rows a query, not k for each bucket or block."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 8)))], "i long, v array<double>").repartition(2)
+    unit, planes = R._vectors(df, "i", "v"), R.directions(5, 8)
+    asked = unit.where("id % 50 = 0").select("id", "v").toArrow()
+    for visits in (1, 32):
+        got = R._scored_here(unit, asked, planes, visits, 3).collect()
+        assert len(got) <= 12 * 3 * 2 and {r.q for r in got} == set(range(12))
+    exact = T.cosine_topk(df.where("i % 50 = 0"), "i", "v", df, "i", "v", 3)
+    ids = asked.column("id").to_pylist()
+    assert {(ids[r.q], r.c_id) for r in R._first(R._scored_here(unit, asked, planes, 32, 3), "q", 3).collect()} \
+        == {(r.q_id, r.c_id) for r in exact.collect()}
+
+
 def test_one_pass_equals_single_statistics(spark):
     from tallyframe.operators import clean as C
     from tallyframe.operators import one_pass as OP
