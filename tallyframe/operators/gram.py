@@ -2,7 +2,8 @@
 
 Tasks multiply blocks of rows (as Arrow batches) and send one row for each
 pair of columns and segment: counts, sums and products of the rows where
-both columns have a value.  Correlations and ridge regressions follow from
+both columns have a value; many segments are sorted first, so that a task
+sends each but once.  Correlations and ridge regressions follow from
 these sums alone, so neither the number of rows nor the number of pairs
 shapes the plan; k columns cost k (k + 1) / 2 small rows a task.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
+#: Beyond so many segments, rows are dealt and sorted by segment first.
+FEW_SEGMENTS = 1000
 _SUMS = ["n", "si", "sj", "sii", "sjj", "sij"]
 
 
@@ -35,31 +38,63 @@ def gram(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     shift = np.array([x or 0.0 for x in first[0]] if first else [0.0] * k)
     names = [*by, "i", "j", *_SUMS]
     ends_i, ends_j = np.triu_indices(k)
+    many = bool(by) and df.agg(F.approx_count_distinct(F.xxhash64(*[_q(b) for b in by]))).first()[0] > FEW_SEGMENTS
+    if many:   # a segment's rows meet in a task; Spark splits a large one
+        rows = rows.hint("rebalance", *[f"`{b}`" for b in by]).sortWithinPartitions(*[_q(b) for b in by])
 
-    def run(batches):
-        held: dict = {}
-        kinds = None
+    def blocks(batches, size):
         for whole in batches:
-            kinds = [c.type for c in whole.columns[:len(by)]]
-            for a in range(0, whole.num_rows, BLOCK_ROWS):
-                b = whole.slice(a, BLOCK_ROWS)
+            for a in range(0, whole.num_rows, size):
+                b = whole.slice(a, size)
                 x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns[len(by):]], 1)
                 has = ~np.isnan(x)
-                x = np.where(has, x - shift, 0.0)
-                codes, values = pd.factorize(pd.MultiIndex.from_arrays([c.to_pylist() for c in b.columns[:len(by)]])) if by else (None, [()])
-                for at, key in enumerate(values):
-                    part, mask = (x, has) if codes is None else (x[codes == at], has[codes == at])
-                    mask = mask.astype(np.float64)
-                    square = part * part
-                    new = np.stack([mask.T @ mask, part.T @ mask, mask.T @ part, square.T @ mask, mask.T @ square, part.T @ part])
-                    key = tuple(None if v != v else v for v in (key if isinstance(key, tuple) else (key,)))
-                    held[key] = held[key] + new if key in held else new
-            if len(held) * k * k > 4_000_000:   # many segments: send what there is
+                yield b, np.where(has, x - shift, 0.0), has
+
+    def products(x, has):
+        """Sums (n, si, sj, sii, sjj, sij) of all pairs of columns over rows where
+        both are present; ``x`` is 0 where it isn't.  A column without gaps adds
+        nothing to a mask, so only those with gaps are multiplied as masks."""
+        gaps = np.flatnonzero(~has.all(0))
+        square, mask = x * x, has[:, gaps].astype(np.float64)
+        n, si, sii = (np.array(np.broadcast_to(c[:, None], (k, k)), np.float64) for c in (has.sum(0), x.sum(0), square.sum(0)))
+        if len(gaps):
+            n[:, gaps], si[:, gaps], sii[:, gaps] = has.T.astype(np.float64) @ mask, x.T @ mask, square.T @ mask
+        return np.stack([n, si, si.T, sii, sii.T, x.T @ x])
+
+    def run(batches):
+        held: dict = {}
+        kinds = None
+        for b, x, has in blocks(batches, BLOCK_ROWS):
+            kinds = [c.type for c in b.columns[:len(by)]]
+            codes, values = pd.factorize(pd.MultiIndex.from_arrays([c.to_pylist() for c in b.columns[:len(by)]])) if by else (None, [()])
+            for at, key in enumerate(values):
+                new = products(x, has) if codes is None else products(x[codes == at], has[codes == at])
+                key = tuple(None if v != v else v for v in (key if isinstance(key, tuple) else (key,)))
+                held[key] = held[key] + new if key in held else new
+            if len(held) * k * k > 4_000_000:
                 yield from send(held, kinds)
                 held = {}
         if held:
             yield from send(held, kinds)
 
+    def run_many(batches):
+        """Rows in the order of segments: sums between the ends of each."""
+        for b, x, has in blocks(batches, max(1, 2_000_000 // len(ends_i))):
+            keys = b.select(list(range(len(by))))
+            new = np.zeros(b.num_rows, bool)
+            for c in keys.columns:
+                codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                new[1:] |= codes[1:] != codes[:-1]
+            new[0] = True
+            at = np.flatnonzero(new)
+            m = has.astype(np.float64)
+            xi, xj, mi, mj = x[:, ends_i], x[:, ends_j], m[:, ends_i], m[:, ends_j]
+            sums = [np.add.reduceat(s, at, axis=0).ravel() for s in (mi * mj, xi * mj, xj * mi, xi * xi * mj, xj * xj * mi, xi * xj)]
+            take = pa.array(np.repeat(at, len(ends_i)))
+            yield pa.RecordBatch.from_arrays(
+                [c.take(take) for c in keys.columns] + [pa.array(np.tile(e, len(at)).astype(np.int32)) for e in (ends_i, ends_j)]
+                + [pa.array(sums[0].astype(np.int64))] + [pa.array(s) for s in sums[1:]], names=names)
+
     def send(held, kinds):
         for key, sums in held.items():
             flat = [s[ends_i, ends_j] for s in sums]
@@ -70,7 +105,7 @@ def gram(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
 
     head = "".join(f"`{b}` {df.schema[b].dataType.simpleString()}, " for b in by)
     schema = head + "i int, j int, n long, si double, sj double, sii double, sjj double, sij double"
-    return rows.mapInArrow(run, schema).groupBy(*by, "i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+    return rows.mapInArrow(run_many if many else run, schema).groupBy(*by, "i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
 
 
 def wide_correlation_pairs(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:

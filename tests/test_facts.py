@@ -203,3 +203,40 @@ def test_equal_names_get_numbers(spark):
     from tallyframe.operators import clean as C
     df = spark.range(1).selectExpr("1 as `a b`", "2 as `a-b`", "3 as `A_B`", "4 as `a_b_2`", "5 as `#`", "6 as `%`")
     assert C.snake_case_columns(df).columns == ["a_b", "a_b_2", "a_b_3", "a_b_2_2", "column", "column_2"]
+
+
+def test_tfidf_texts_are_dealt_once(spark, monkeypatch):
+    """No shuffle of terms after the texts are dealt by id, and a null id
+    has no vector but counts as a text; broadcast or not, the same."""
+    df = spark.createDataFrame([(1, "a b a"), (2, "b c"), (2, "c"), (None, "a"), (3, None)], "id long, t string")
+    got = sorted((r.id, r.term, r.tf, round(r.weight, 9)) for r in T.tfidf(df, "id", "t").collect())
+    plan = T.tfidf(df, "id", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert [x[:3] for x in got] == [(1, "a", 2), (1, "b", 1), (2, "b", 1), (2, "c", 2)]
+    told = T._told
+    monkeypatch.setattr(T, "_told", lambda d, size: told(d, size, -1))
+    assert got == sorted((r.id, r.term, r.tf, round(r.weight, 9)) for r in T.tfidf(df, "id", "t").collect())
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_gram_of_many_segments(spark, monkeypatch, few):
+    """Segments one by one or many at once: sums of plain numpy; a task of
+    many segments gives back each but once."""
+    monkeypatch.setattr(G, "FEW_SEGMENTS", few)
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 41 == 0 else i % 41, "pq"[i % 2], float(rng.normal()), None if i % 5 == 0 else float(i % 7), NAN if i % 11 == 0 else 2.0 * i)
+            for i in range(900)]
+    df = spark.createDataFrame(rows, "g int, h string, x double, y double, z double").repartition(6)
+    got = {(r.g, r.h, r.i, r.j): r for r in G.gram(df, ["x", "y", "z"], ["g", "h"]).collect()}
+    assert len(got) == len({r[:2] for r in rows}) * 6
+    for g, h in {r[:2] for r in rows}:
+        part = np.array([[NAN if v is None else v for v in r[2:]] for r in rows if r[:2] == (g, h)])
+        for i in range(3):
+            for j in range(i, 3):
+                both = part[~np.isnan(part[:, [i, j]]).any(1)][:, [i, j]]
+                r = got[g, h, i, j]
+                assert r.n == len(both)
+                c = lambda sij, si, sj: sij - si * sj / max(r.n, 1)
+                want = ((both - both.mean(0)).prod(1).sum(), ((both - both.mean(0)) ** 2).sum(0)) if len(both) else (0.0, (0.0, 0.0))
+                assert c(r.sij, r.si, r.sj) == pytest.approx(want[0], abs=1e-6)
+                assert (c(r.sii, r.si, r.si), c(r.sjj, r.sj, r.sj)) == (pytest.approx(want[1][0], abs=1e-6), pytest.approx(want[1][1], abs=1e-6))
