@@ -159,13 +159,14 @@ def prefix_group_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
     A group of prefix level j counts only when none of its j kept keys is a
     real NULL (``grouping(k)=0 and k is null`` marks a real NULL); NULLs in
-    dropped keys are rollup placeholders and keep the group.
+    dropped keys are rollup placeholders and keep the group.  The ROLLUP
+    copies a row for every level, so only distinct combinations go in.
     """
     k = len(keys)
     if k == 0:
         return df.sparkSession.createDataFrame([(0, 1)], "n_keys int, groups bigint")
     cols = [_q(c) for c in keys]
-    rolled = df.select(*cols).rollup(*cols).agg(*[F.grouping(c).alias(f"__g{i}") for i, c in enumerate(cols)])
+    rolled = df.select(*cols).distinct().rollup(*cols).agg(*[F.grouping(c).alias(f"__g{i}") for i, c in enumerate(cols)])
     level = sum((F.lit(1) - F.col(f"__g{i}")) for i in range(k))
     bad = None
     for i, c in enumerate(keys):

@@ -74,3 +74,12 @@ def test_rollup_levels_sum_to_parent(spark):
     s = A.summarize(df, max_rows=5)
     assert s.meta["group_keys"] == ["a"]
     assert s.table.agg(F.sum("v_sum")).first()[0] == float(sum(range(200)))
+
+
+def test_rollup_reads_distinct_keys(spark):
+    """The ROLLUP copies a row for each level: rows are condensed before."""
+    df = spark.createDataFrame([(i % 2, "x" if i % 3 else None) for i in range(60)], "a int, b string")
+    counts = A.prefix_group_counts(df, ["a", "b"])
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.rindex("Aggregate")
+    assert {r.n_keys: r.groups for r in counts.collect()} == {0: 1, 1: 2, 2: 2}
