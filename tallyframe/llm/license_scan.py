@@ -352,12 +352,16 @@ def notices(text: Column, templates=TEMPLATES, least: float = LEAST) -> Column:
                 F.transform(kept, lambda x: notice(x, line_of(x)))))
         return let(placed, joined)
 
-    def both(lines: Column) -> Column:
+    def both(lines: Column, words: Column) -> Column:
         found = F.filter(F.transform(segments(lines), against), lambda x: x["name"].isNotNull())
-        others = let(F.flatten(lines), lambda words: runs(words, known, least))
+        others = runs(words, known, least)
         return let(found, lambda found: let(others, lambda others: F.when(
             F.size(others) > 0, merged(lines, found, others)).otherwise(plain(found))))
-    return let(lines, both)
+
+    # a text without a telling word has no notice: no line, no run, nor the whole
+    none = F.array().cast("array<struct<name:string,dice:double,line:int>>")
+    return let(lines, lambda lines: let(F.flatten(lines), lambda words: F.when(
+        F.arrays_overlap(words, _strings(telling(known))), both(lines, words)).otherwise(none)))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES,

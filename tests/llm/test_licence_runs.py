@@ -112,3 +112,14 @@ def test_licence_bodies(spark):
             texts.append((name, open(f"{shelf}/{file}", encoding="utf-8").read()))
     found = scanned(spark, [t for _, t in texts])
     assert [set(r) for r in names(found)] == [{n} for n, _ in texts]
+
+
+def test_whole_texts_without_telling_words_are_not_compared(spark, monkeypatch):
+    """A notice over several lines is found as a whole text, and only where
+    the text holds a telling word: others are not compared at all."""
+    text = "Released under\nthe MIT\nLicense."
+    df = spark.createDataFrame([(1, text), (2, "of no\nweight at all"), (3, None)], "doc_id int, text string")
+    got = lambda: [r["licences"] for r in S.scan(df).orderBy("doc_id").collect()]
+    assert got() == ["MIT", "", ""]
+    monkeypatch.setattr(S, "telling", lambda known: ["zzz"])
+    assert got() == ["", "", ""]
