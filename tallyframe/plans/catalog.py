@@ -450,7 +450,7 @@ def t6_facts_orders(spark, sf_dir):
 
 
 def t6_facts_documents(spark, sf_dir):
-    return _flat_facts(TB.load(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return _flat_facts(TB.load(spark, sf_dir, "documents", TB.FACT_ROWS), "text", ["doc_id"])
 
 
 # ---------------------------------------------------------------------------

@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows of a task that looks for every fact pattern (some 0.7 ms each).
+FACT_ROWS = 20_000
+
+
+def load(spark: SparkSession, sf_dir: str, name: str, rows_a_task: int | None = None) -> DataFrame:
     from tallyframe.sources.files import read_table
-    return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
+    return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"), rows_a_task=rows_a_task)
 
 
 def lineitem_with_nulls(spark, sf_dir) -> DataFrame:
@@ -91,7 +95,7 @@ def order_fact_lines(spark, sf_dir) -> DataFrame:
              "s": F.col("o_orderstatus"), "r": F.col("o_orderpriority")}
     parts = re.split(r"\{(\w)\}", FACT_LINES)
     text = F.concat(*[value[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
-    return load(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    return load(spark, sf_dir, "orders", FACT_ROWS).select("o_orderkey", text.alias("text"))
 
 
 def supplier_kpis(spark, sf_dir) -> DataFrame:

@@ -74,7 +74,7 @@ def read_csv(spark: SparkSession, path, null_tokens=tuple(fixed.CSV_NULL_TOKENS)
     return nan_to_null(typed)
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", rows_a_task: int | None = None) -> DataFrame:
     """A table scan that is at least as wide as the cluster.
 
     A large table arrives in many splits and is returned as is.  A file
@@ -82,9 +82,18 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     first shuffle would run there; such a scan is spread round-robin over
     the default parallelism (a shuffle of a small input, none at scale).
     Filters and column pruning still reach the scan below the exchange.
+    Row groups aren't split, so a file of many splits may still lie in a few
+    tasks: with ``rows_a_task``, for work that is long for every row, rows
+    are counted (of parquet only the footers are read) and spread evenly
+    where a task would get more of them.
     """
     df = spark.read.format(fmt).load(path)
     width = spark.sparkContext.defaultParallelism
+    if rows_a_task:
+        held = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        held = held.agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+        if (held["most"] or 0) > rows_a_task:
+            return nan_to_null(df.repartition(max(width, -(-held["n"] // rows_a_task))))
     if df.rdd.getNumPartitions() < width:
         df = df.repartition(width)
     return nan_to_null(df)

@@ -74,3 +74,18 @@ def test_model_round_trip(spark, tmp_path):
     assert first.endswith("my_model") and second.endswith("my_model_1")
     back = S.load_model(second).transform(df).agg(F.max(F.abs(F.col("prediction") - F.col("label")))).first()[0]
     assert back < 1e-6
+
+
+def test_rows_of_fact_scans_are_spread(spark, tmp_path, monkeypatch):
+    """A file of one row group lies in one task however many splits it has;
+    fact scans get tasks of a bounded number of rows, and all rows."""
+    from tallyframe.plans import catalog
+    from tallyframe.plans import tables as TB
+    rows = [(k, k % 50, "OFP"[k % 3], f"{k % 5 + 1}-URGENT") for k in range(1000)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(TB, "FACT_ROWS", 50, raising=False)
+    out = catalog.t6_facts_orders(spark, str(tmp_path))
+    held = out.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"), F.count("p")).first()
+    assert held[0] <= 100 and held[1] >= 15
+    assert sorted(r["o_orderkey"] for r in out.select("o_orderkey").collect()) == list(range(1000))
