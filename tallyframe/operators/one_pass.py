@@ -55,15 +55,19 @@ def first_look(df: DataFrame) -> FirstLook:
     strings = [f.name for f in df.schema.fields if is_string(f.dataType)]
     numbers = [f.name for f in df.schema.fields if is_numeric(f.dataType) and
                any(h in f.name.lower() for h in fixed.NUMERIC_KEY_HINTS)]
+    view, hashes = df, {f"__d{i}": C.cleaned(_q(c)) for i, c in enumerate(df.columns) if c in strings}
+    if hashes:   # columns of their own: a sketch evaluates what it is given value by value, without compiled code
+        view = df.select("*", *[x.alias(h) for h, x in hashes.items()])
+        view = view.select(*[_q(c) for c in df.columns], *[F.when(F.col(h).isNotNull(), F.xxhash64(h)).alias(h) for h in hashes])
     for i, c in enumerate(df.columns):
         aggs[f"c{i}"] = F.count(_q(c))
         if c in strings:
             clean = C.cleaned(_q(c))
-            aggs[f"d{i}"] = F.approx_count_distinct(clean, 0.05)
+            aggs[f"d{i}"] = F.approx_count_distinct(f"__d{i}", 0.05)
             if c in times:
                 aggs[f"t{i}"] = F.avg(F.when(clean.isNotNull(), C.parse_timestamp(clean).isNotNull().cast("double")))
         elif c in numbers:
             aggs[f"d{i}"] = F.approx_count_distinct(_q(c), 0.05)
-    row = df.agg(*[e.alias(k) for k, e in aggs.items()]).first().asDict()
+    row = view.agg(*[e.alias(k) for k, e in aggs.items()]).first().asDict()
     of = lambda kind: {c: row[f"{kind}{i}"] for i, c in enumerate(df.columns) if f"{kind}{i}" in row}
     return FirstLook(row["n"], of("c"), of("d"), {c: r or 0.0 for c, r in of("t").items()})

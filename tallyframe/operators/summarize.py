@@ -56,7 +56,13 @@ def string_distinct_counts(df: DataFrame, cols: list[str], exact_below: int = 10
     else:
         approx = look.distinct
     small = [c for c in cols if approx[c] <= exact_below]
-    exact = {r["column"]: r["n_distinct"] for r in exact_distinct_counts(df, small).collect()} if small else {}
+    texts = [c for c in small if is_string(df.schema[c].dataType)]
+    others = [c for c in small if c not in texts]
+    exact = {r["column"]: r["n_distinct"] for r in exact_distinct_counts(df, others).collect()} if others else {}
+    if texts:   # few values: a task holds two hashes of each, where long form would copy the rows
+        pairs = [F.when(_q(c).isNotNull(), F.struct(F.xxhash64(_q(c)).alias("a"), F.xxhash64(F.lit("b"), _q(c)).alias("b"))) for c in texts]
+        pairs = df.select(*[p.alias(f"p{i}") for i, p in enumerate(pairs)])
+        exact |= zip(texts, pairs.agg(*[F.size(F.collect_set(p)).alias(p) for p in pairs.columns]).first())
     return {c: exact.get(c, 0 if c in small else approx[c]) for c in cols}
 
 
@@ -183,18 +189,21 @@ LARGE_KEY_SPACE = 1_000_000
 SKETCH_ERROR, NEAR = 0.02, 1.25
 
 
-def deepest_level(df: DataFrame, keys: list[str], max_rows: int) -> int:
-    """The longest prefix of ``keys`` whose estimated groups may be within
-    ``max_rows``: one aggregate with a sketch a prefix, no shuffle of rows.
+def prefix_estimates(df: DataFrame, keys: list[str]) -> list[int]:
+    """Estimated groups of every prefix of ``keys``: one aggregate with a
+    sketch a prefix, no shuffle of rows.  A prefix's hash is made of the
+    shorter one's, null from the first null key on."""
+    last = F.lit(0).cast("long")
+    for j, c in enumerate(keys):
+        df = df.withColumn(f"__p{j}", F.when(last.isNotNull() & _q(c).isNotNull(), F.xxhash64(last, _q(c))))
+        last = F.col(f"__p{j}")
+    return list(df.agg(*[F.approx_count_distinct(f"__p{j}", SKETCH_ERROR).alias(f"p{j}") for j in range(len(keys))]).first())
+
+
+def deepest_level(estimates: list[int], max_rows: int) -> int:
+    """The longest prefix whose estimated groups may be within ``max_rows``.
     Longer prefixes needn't be counted; the others are counted exactly."""
-    known = [_q(c).isNotNull() for c in keys]
-    estimates, whole = [], None
-    for j in range(1, len(keys) + 1):
-        whole = known[j - 1] if whole is None else whole & known[j - 1]
-        row = F.xxhash64(*[_q(c) for c in keys[:j]])
-        estimates.append(F.approx_count_distinct(F.when(whole, row), SKETCH_ERROR).alias(f"p{j}"))
-    found = df.agg(*estimates).first()
-    return max((j for j in range(1, len(keys) + 1) if found[f"p{j}"] <= NEAR * max_rows), default=0)
+    return max((j for j, n in enumerate(estimates, 1) if n <= NEAR * max_rows), default=0)
 
 
 def key_space(keys: list[str], key_distinct: dict) -> float:
@@ -214,15 +223,22 @@ def choose_prefix(level_counts: dict, n_keys: int, max_rows: int) -> int:
     return 0
 
 
-def summarize(df: DataFrame, max_rows: int = fixed.MAX_SUMMARY_ROWS, money_scale: int | None = None,
-              drop_duplicates: bool = True, numeric_keys: bool = False, target: str | None = None) -> Summary:
-    """Condense any table into at most ``max_rows`` rows.
+@dataclass
+class Survey:
+    """What the summaries of a table ask of its rows, whatever their limits
+    up to ``max_rows``."""
+    max_rows: int
+    rows: DataFrame
+    meta: dict
+    estimates: list | None               # groups of every prefix, of a large key space
+    counts: dict                         # groups of the prefixes that may fit
 
-    ``level_counts`` holds the groups of every prefix; of a large key space
-    those of the prefixes that may fit, None for longer ones."""
+
+def survey(df: DataFrame, max_rows: int = fixed.MAX_SUMMARY_ROWS, drop_duplicates: bool = True, numeric_keys: bool = False,
+           target: str | None = None) -> Survey:
+    """C1-C3, C6-C8, A1 and A4's counts, read once for several limits."""
     df = nan_to_null(df)
     look = first_look(df)
-    original_rows, original_cols = look.n_rows, len(df.columns)
     base = C.drop_sparse_columns(df, look=look)
     stats_view = C.trim_and_nullify(base)          # values as analysed; duplicates do not matter here
     time_col, needs_parse = choose_time_column(stats_view, look)
@@ -234,17 +250,40 @@ def summarize(df: DataFrame, max_rows: int = fixed.MAX_SUMMARY_ROWS, money_scale
         stats_view = C.add_time_parts(stats_view, time_col)
         rows = C.add_time_parts(rows, time_col)
     keys, values, key_distinct = choose_keys(stats_view, time_col, numeric_keys=numeric_keys, target=target, look=look)
-    meta = {"original_rows": original_rows, "original_cols": original_cols, "group_keys": [],
+    meta = {"original_rows": look.n_rows, "original_cols": len(df.columns), "group_keys": [],
             "value_cols": values, "time_col": time_col, "agg_rows": 0, "reduction_ratio": 0.0,
             "candidate_keys": keys, "key_distinct": key_distinct}
+    estimates, counts = None, {0: 1}
+    if values:
+        if key_space(keys, key_distinct) > LARGE_KEY_SPACE:
+            estimates = prefix_estimates(stats_view, keys)
+        deep = len(keys) if estimates is None else deepest_level(estimates, max_rows)
+        if deep:
+            counts = {r["n_keys"]: r["groups"] for r in prefix_group_counts(stats_view, keys[:deep]).collect()} | counts
+    return Survey(max_rows, rows, meta, estimates, counts)
+
+
+def summarize(df: DataFrame, max_rows: int = fixed.MAX_SUMMARY_ROWS, money_scale: int | None = None,
+              drop_duplicates: bool = True, numeric_keys: bool = False, target: str | None = None,
+              surveyed: Survey | None = None) -> Summary:
+    """Condense any table into at most ``max_rows`` rows.
+
+    ``level_counts`` holds the groups of every prefix; of a large key space
+    those of the prefixes that may fit, None for longer ones.  Summaries of
+    one table may share a survey of the same options."""
+    if surveyed is None:
+        surveyed = survey(df, max_rows, drop_duplicates, numeric_keys, target)
+    elif max_rows > surveyed.max_rows:
+        raise ValueError("the survey is of fewer rows")
+    rows, meta = surveyed.rows, dict(surveyed.meta)
+    keys, values, original_rows = meta["candidate_keys"], meta["value_cols"], meta["original_rows"]
     if not values:
         table = describe_fallback(rows)
         meta["agg_rows"] = table.count()
         meta["reduction_ratio"] = round(meta["agg_rows"] / original_rows, 6) if original_rows else 0.0
         return Summary(table, meta, rows, [])
-    deep = deepest_level(stats_view, keys, max_rows) if key_space(keys, key_distinct) > LARGE_KEY_SPACE else len(keys)
-    counts = {r["n_keys"]: r["groups"] for r in prefix_group_counts(stats_view, keys[:deep]).collect()} if deep else {}
-    counts[0] = 1
+    deep = len(keys) if surveyed.estimates is None else deepest_level(surveyed.estimates, max_rows)
+    counts = surveyed.counts
     j = choose_prefix(counts, deep, max_rows)
     used = keys[:j]
     table = group_summary(rows, used, values, money_scale)
